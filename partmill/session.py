@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +34,24 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each Spark context (an archive of source files)."""
+    context = spark.sparkContext
+    if getattr(context, "_partmill_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    # Spark's file server reads the archive when an executor asks for it, so it stays until the driver ends
+    folder = Path(tempfile.mkdtemp(prefix="partmill-package-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    shutil.copytree(here, folder / "tree" / here.name, ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(folder / "partmill_package"), "zip", folder / "tree"))
+    context._partmill_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keeps the shared folder named by ``spark.checkpoint.dir``; sets a local one only where none is set (tests)."""
     jsc = spark.sparkContext._jsc.sc()
