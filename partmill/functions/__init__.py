@@ -1 +1 @@
-
+"""partmill.functions"""

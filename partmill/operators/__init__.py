@@ -1 +1 @@
-
+"""partmill.operators"""

@@ -42,3 +42,34 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found}
+
+ORACLE = {
+    "p7_found": """
+WITH s AS (SELECT snapshot_id, lag(snapshot_id) OVER w AS prev_id FROM web_snapshots WHERE complete WINDOW w AS (PARTITION BY coalesce(site, '') ORDER BY fetched_at, snapshot_id)),
+p AS (SELECT snapshot_id, coalesce(part_no, '') AS part_no, list_sort(list(DISTINCT row_text)) AS rows_ FROM (
+  SELECT snapshot_id, part_no, to_json([coalesce(category, ''), coalesce(subcategory, ''), coalesce(series, ''), coalesce(description, '')])::VARCHAR
+    || coalesce(to_json(list_sort(list_transform(map_entries(attributes), lambda e: [e.key, coalesce(e.value, '')])))::VARCHAR, '[]') AS row_text FROM snapshot_parts) GROUP BY 1, 2),
+n AS (SELECT s.snapshot_id, part_no, rows_ FROM s JOIN p ON p.snapshot_id = s.snapshot_id WHERE prev_id IS NOT NULL),
+o AS (SELECT s.snapshot_id, part_no, rows_ FROM s JOIN p ON p.snapshot_id = s.prev_id)
+SELECT coalesce(n.snapshot_id, o.snapshot_id) AS snapshot_id, coalesce(n.part_no, o.part_no) AS part_no,
+  CASE WHEN o.part_no IS NULL THEN 'added' WHEN n.part_no IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+FROM n FULL OUTER JOIN o ON n.snapshot_id = o.snapshot_id AND n.part_no = o.part_no
+WHERE o.part_no IS NULL OR n.part_no IS NULL OR n.rows_ <> o.rows_""",
+    "p6_found": """
+WITH RECURSIVE b AS (SELECT payload_id, kind, body::JSON AS j FROM api_payloads WHERE json_valid(body)),
+n AS (
+  SELECT payload_id, CASE kind WHEN 'categories' THEN 'category' ELSE 'product' END AS node_kind, '' AS parent_path, (i - 1)::VARCHAR AS node_path, list[i] AS item FROM (
+    SELECT payload_id, kind, list, unnest(range(1, len(list) + 1)) AS i FROM (
+      SELECT payload_id, kind, CASE kind WHEN 'product_detail' THEN [j] ELSE CASE json_type(a) WHEN 'ARRAY' THEN json_extract(a, '$[*]') WHEN 'OBJECT' THEN [a] ELSE [] END END AS list
+      FROM (SELECT payload_id, kind, j, CASE kind WHEN 'categories' THEN j->'$.categories' WHEN 'search' THEN j->'$.products' END AS a FROM b)))
+  WHERE json_type(list[i]) = 'OBJECT'
+  UNION ALL
+  SELECT payload_id, child, node_path, node_path || '.' || (i - 1), list[i] FROM (
+    SELECT payload_id, child, node_path, list, unnest(range(1, len(list) + 1)) AS i FROM (
+      SELECT payload_id, CASE node_kind WHEN 'category' THEN 'category' WHEN 'product' THEN 'attribute' ELSE 'value' END AS child, node_path,
+        CASE json_type(a) WHEN 'ARRAY' THEN json_extract(a, '$[*]') WHEN 'OBJECT' THEN [a] ELSE [] END AS list
+      FROM (SELECT payload_id, node_kind, node_path, CASE node_kind WHEN 'category' THEN item->'$.subCategories' WHEN 'product' THEN item->'$.attributeTypes' WHEN 'attribute' THEN item->'$.attributeValues' END AS a FROM n)))
+  WHERE json_type(list[i]) = 'OBJECT')
+SELECT payload_id, node_kind, parent_path, node_path,
+  coalesce(CASE node_kind WHEN 'category' THEN item->>'$.shortDescription' WHEN 'product' THEN item->>'$.productNumber' WHEN 'attribute' THEN item->>'$.label' ELSE item->>'$.valueDisplay' END, '') AS node_text FROM n""",
+}

@@ -1 +1 @@
-
+"""partmill.sources"""

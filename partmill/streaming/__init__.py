@@ -1 +1 @@
-
+"""partmill.streaming"""
