@@ -1,8 +1,9 @@
 """Attribute-value rows into wide tables with typed columns.
 
-Method: the rows are reduced to one usable value for each entity and attribute, the entity-by-attribute grid is
-completed, values are left joined to it, arrays sorted by attribute position are collected for each entity, and
-fixed indices of the array are projected through a try cast of the column's type.
+Method: the rows are reduced to one usable value for each entity and attribute; the entities are left joined with
+their values; the entity-by-attribute grid is completed as an array sorted by attribute position for each entity, and
+fixed indices of the array are projected through a try cast of the column's type.  The grid is completed within the
+row of its entity, so it is never shuffled: one shuffle by entity serves the join and the arrays.
 """
 
 from __future__ import annotations
@@ -80,15 +81,13 @@ def wide_table(rows: DataFrame, defs: DataFrame) -> DataFrame:
     """
     columns = attribute_columns(defs)
     rows = rows.withColumn("entity_key", blank(F.col("entity_key")))
-    grid = rows.select("entity_key").distinct().select("entity_key", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(columns) - 1)))).alias("attr_pos"))
-    cells = (
-        grid.join(usable_values(rows, columns), ["entity_key", "attr_pos"], "left")
-        .groupBy("entity_key")
-        .agg(F.array_sort(F.collect_list(F.struct("attr_pos", "cell"))).alias("cells"))
-    )
+    # at most one value for each attribute, so the lists are bounded by the definitions
+    values = usable_values(rows, columns).groupBy("entity_key").agg(F.map_from_entries(F.collect_list(F.struct("attr_pos", "cell"))).alias("by_pos"))
+    grid = F.sequence(F.lit(0), F.lit(max(0, len(columns) - 1)))
+    cells = rows.select("entity_key").distinct().join(values, "entity_key", "left").select("entity_key", F.transform(grid, lambda pos: F.try_element_at("by_pos", pos)).alias("cells"))
     wide = []
     for pos, column in enumerate(columns):
-        cell = F.get(F.col("cells"), F.lit(pos))["cell"]
+        cell = F.get(F.col("cells"), F.lit(pos))
         wide.append(cell.try_cast(SQL_TYPE.get(column["value_type"], "string")).alias(column["attr_code"]))
     return cells.select("entity_key", *wide)
 
