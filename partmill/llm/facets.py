@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from partmill.functions.quantities import FRACTION_SIGNS, Reader, base_value
 
@@ -80,6 +81,7 @@ class Facets:
         self.phrases = phrase_table()
         self.longest = 4  # words of the longest phrase
         self.reader = Reader()
+        self.scan = lru_cache(1 << 16)(self._scan)  # most fields come again and again
         self.label_of = {label: facet for facet, labels in LABELS.items() for label in labels}
 
     def size(self, text: str) -> tuple[str, str]:
@@ -94,11 +96,12 @@ class Facets:
                 at = item["end"]
         return found, "".join(out) + text[at:]
 
-    def scan(self, text: str, out: dict[str, str], rest: list[str]) -> None:
-        """Takes what ``text`` states; what is stated first counts."""
+    def _scan(self, text: str) -> tuple[tuple[tuple[str, str], ...], tuple[str, ...]]:
+        """((facet, value) stated, other words) of one field."""
+        found: list[tuple[str, str]] = []
         size, text = self.size(text)
-        if size and "size" not in out:
-            out["size"] = size
+        if size:
+            found.append(("size", size))
         words = tokens(text.replace("|", " † "))
         kept: list[str | None] = []
         i = 0
@@ -106,7 +109,7 @@ class Facets:
             for n in range(min(self.longest, len(words) - i), 0, -1):
                 hit = self.phrases.get("".join(words[i : i + n]))
                 if hit:
-                    out.setdefault(hit[0], hit[1])
+                    found.append(hit)
                     kept.append(None)
                     i += n
                     break
@@ -118,9 +121,22 @@ class Facets:
                 before = [w for w in kept[max(0, i - 2) : i] if w != "series"][-1:] or [None]
                 after = [w for w in kept[i + 1 : i + 3] if w != "series"][:1] or [None]
                 name = next((w for w in (before[0], after[0]) if w and not w.isdecimal() and len(w) > 2 and w not in NO_SERIES), None)
-                if name and "series_no" not in out:
-                    out["series_word"], out["series_no"] = name, word
-        rest += [w for w in kept if w and w not in NO_SERIES]
+                if name:
+                    found += [("series_word", name), ("series_no", word)]
+                    break
+        return tuple(found), tuple(w for w in kept if w and w not in NO_SERIES)
+
+    def take(self, text: str, out: dict[str, str], rest: list[str]) -> None:
+        """Takes what ``text`` states; what is stated first counts."""
+        found, words = self.scan(text)
+        pair = "series_word" not in out
+        for facet, value in found:
+            if facet.startswith("series_"):
+                if pair:
+                    out[facet] = value
+            else:
+                out.setdefault(facet, value)
+        rest += words
 
     def read(self, series: str | None, description: str | None, attributes: dict | None) -> tuple[dict[str, str], list[str]]:
         """(facets stated, other words).  Labelled statements come before free text."""
@@ -130,11 +146,11 @@ class Facets:
         for label, value in (attributes or {}).items():
             facet = self.label_of.get("".join(c for c in (label or "").lower() if c.isalnum()))
             if facet and value:
-                self.scan(normal(value), out, rest)
+                self.take(normal(value), out, rest)
         if series:
-            self.scan(normal(series), out, rest)
+            self.take(normal(series), out, rest)
         fields = [f for f in re.split(r"[,;|]", normal(description)) if f.strip()]
         labelled = [f for f in fields if re.search(r"[:=]", f)]
         for field in [*labelled, *(f for f in fields if f not in labelled)]:
-            self.scan(field, out, rest)
+            self.take(field.strip(), out, rest)
         return out, rest
