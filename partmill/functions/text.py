@@ -17,9 +17,10 @@ def blank(col: Column) -> Column:
 def letters_digits(col: Column) -> Column:
     """Letters and digits of any script, case folded; everything else removed.  Null gives ``""``.
 
-    Upper-casing before lower-casing maps letters whose upper form is longer (sharp s, ligatures) on one form.
+    Upper-casing before lower-casing maps letters whose upper form is longer (sharp s, ligatures) on one form; the
+    removal stands between the two because the optimiser would drop the inner one of two case changes.
     """
-    return F.regexp_replace(F.lower(F.upper(blank(col))), r"[^\p{L}\p{N}]", "")
+    return F.lower(F.regexp_replace(F.upper(blank(col)), r"[^\p{L}\p{N}]", ""))
 
 
 def squash(col: Column) -> Column:
