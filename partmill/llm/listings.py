@@ -169,21 +169,21 @@ def links(table: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 def correlation_clusters(edges: DataFrame) -> DataFrame:
-    """node, cluster of the nodes that have links: pivots in the order of a hash.
+    """node, cluster of the nodes that have links: pivots, those with more links first, then in the order of a hash.
 
-    In each round every node whose hash is smaller than those of all its linked nodes still unassigned is a pivot; its
-    unassigned linked nodes join the smallest pivot; nodes without unassigned linked nodes are pivots too.  The number
-    of rounds grows with the logarithm of the nodes; every round's state is written to the shared checkpoint folder.
+    In each round every node that comes before all its linked nodes still unassigned is a pivot; its unassigned linked
+    nodes join the first of their pivots; nodes without unassigned linked nodes are pivots too.  Every round's state is
+    written to the shared checkpoint folder; the driver only asks whether nodes are left.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
-    open_edges = durable(both)
-    nodes_left = durable(open_edges.select(F.col("a").alias("node")).distinct())
+    ranks = durable(both.groupBy("a").agg((-F.count("*")).alias("links")).select(F.col("a").alias("node"), F.struct("links", F.xxhash64("a").alias("hash"), F.col("a").alias("node")).alias("rank")))
+    open_edges = durable(both.join(ranks.select(F.col("node").alias("b"), F.col("rank").alias("rank_b")), "b").select("a", "b", "rank_b"))
+    nodes_left = ranks
     done: DataFrame | None = None
     while not nodes_left.isEmpty():
-        smallest = open_edges.groupBy("a").agg(F.min(rank("b")).alias("other"))
-        pivots = nodes_left.join(smallest, nodes_left.node == smallest.a, "left").where(F.col("other").isNull() | (rank("node") < F.col("other"))).select("node")
-        joined = open_edges.join(pivots, open_edges.b == pivots.node).groupBy("a").agg(F.min(rank("b")).alias("p")).select(F.col("a").alias("node"), F.col("p.b").alias("cluster"))
+        first = open_edges.groupBy("a").agg(F.min("rank_b").alias("other"))
+        pivots = nodes_left.join(first, nodes_left.node == first.a, "left").where(F.col("other").isNull() | (F.col("rank") < F.col("other"))).select("node")
+        joined = open_edges.join(pivots, open_edges.b == pivots.node).groupBy("a").agg(F.min("rank_b").alias("p")).select(F.col("a").alias("node"), F.col("p.node").alias("cluster"))
         taken = durable(pivots.select("node", F.col("node").alias("cluster")).unionByName(joined))
         done = taken if done is None else done.unionByName(taken)
         nodes_left = durable(nodes_left.join(taken, "node", "left_anti"))
