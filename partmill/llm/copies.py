@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partmill.functions.text import blank, canonical_entries, canonical_fields, letters_digits
+from partmill.session import durable
 
 SEPARATOR = "\u001f"
 
@@ -40,13 +41,14 @@ def line_key() -> Column:
 def survivors(rows: DataFrame, key: Column, canonical: Column, columns: list[str], row_id: str) -> tuple[DataFrame, DataFrame]:
     """(raw groups, canonical groups).
 
-    Raw groups: raw, keep_id, copies for each distinct raw row (SHA-256 of the bytes), and its canonical text.
-    Canonical groups: canonical, keep_id, copies.  Both are partial aggregates, so a group that holds a third of all
+    Raw groups: raw, keep_id, copies for each distinct raw row (SHA-256 of the bytes), and the SHA-256 of its full
+    canonical text.  Canonical groups: canonical, keep_id, copies.  Both are partial aggregates, so a group that holds a third of all
     rows is reduced before the shuffle.
     """
     hashed = rows.select(F.sha2(key, 256).alias("raw"), F.col(row_id).alias("row_id"), *columns)
     raw = hashed.groupBy("raw").agg(F.min("row_id").alias("keep_id"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in columns])
-    raw = raw.select("raw", "keep_id", "copies", canonical.alias("canonical")).where("canonical is not null")
+    # the digest stands for the whole canonical text; the table is read for the groups and again for their members
+    raw = durable(raw.select("raw", "keep_id", "copies", F.sha2(canonical, 256).alias("canonical")).where("canonical is not null"))
     groups = raw.groupBy("canonical").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
     return raw, groups
 
