@@ -43,7 +43,23 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found}
 
+PLAIN_SQL = r"lower(regexp_replace(upper(replace(coalesce({0}, ''), 'ß', 'ss')), '[^\p{{L}}\p{{N}}]', '', 'g'))"
+#: Typed cells in SQL: the value stripped, its only number, and the readings of the four types.
+P3_SQL = rf"""
+WITH defs AS (SELECT attr_code, value_type, {PLAIN_SQL.format('label')} AS k FROM (SELECT attr_code, value_type, unnest(list_prepend(display_label, coalesce(other_labels, []))) AS label FROM attribute_defs) WHERE value_type IN ('integer', 'decimal', 'boolean', 'date')),
+r AS (SELECT 'detail' AS src, coalesce(product_id, '') AS entity_key, label, value_display AS value, loaded_at, row_id FROM product_details
+  UNION ALL SELECT 'record', rec_id::VARCHAR, e.key, e.value, loaded_at, rec_id FROM (SELECT rec_id, loaded_at, unnest(map_entries(attributes)) AS e FROM part_records)),
+v AS (SELECT src, entity_key, attr_code, value_type, loaded_at, row_id, regexp_replace(coalesce(value, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS s FROM r JOIN defs ON k = {PLAIN_SQL.format('r.label')}),
+n AS (SELECT *, try_cast(replace(regexp_replace(regexp_extract(s, '^(?i:approx\.?\s*|up to\s*|[$€£¥~]\s*)*(\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:[.,]\d+)?|[.,]\d+)[^\p{{N}}]*$', 1), ',(\d{{3}})($|[^\d])', '\1\2', 'g'), ',', '.') AS DECIMAL(30, 9)) AS num, lower(s) AS l FROM v),
+c AS (SELECT *, CASE value_type
+    WHEN 'integer' THEN CASE WHEN num = floor(num) THEN num::BIGINT::VARCHAR END
+    WHEN 'decimal' THEN round(num, 3)::DECIMAL(28, 3)::VARCHAR
+    WHEN 'boolean' THEN CASE WHEN l IN ('yes', 'y', 'true', 't', '1', 'x', '✓', '✔', '☑') THEN 'true' WHEN l IN ('no', 'n', 'false', 'f', '0') THEN 'false' END
+    ELSE coalesce(try_strptime(s, ['%Y-%m-%d', '%Y/%m/%d', '%Y-%m-%dT%H:%M:%SZ']), CASE WHEN regexp_matches(s, '^\d{{8}}$') THEN try_strptime(s, '%Y%m%d') END, try_strptime(l, ['%d %b %Y', '%d-%b-%Y', '%B %d, %Y']))::DATE::VARCHAR END AS cell FROM n)
+SELECT src, entity_key, attr_code, arg_max(cell, (loaded_at, row_id)) AS cell FROM c WHERE cell IS NOT NULL GROUP BY 1, 2, 3"""
+
 ORACLE = {
+    "p3_found": P3_SQL,
     "p7_found": """
 WITH s AS (SELECT snapshot_id, lag(snapshot_id) OVER w AS prev_id FROM web_snapshots WHERE complete WINDOW w AS (PARTITION BY coalesce(site, '') ORDER BY fetched_at, snapshot_id)),
 p AS (SELECT snapshot_id, coalesce(part_no, '') AS part_no, list_sort(list(DISTINCT row_text)) AS rows_ FROM (
