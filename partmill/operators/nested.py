@@ -33,7 +33,6 @@ VALUES = Level("attributeValues", "value", "valueDisplay")
 ATTRIBUTES = Level("attributeTypes", "attribute", "label", (VALUES,))
 PRODUCTS = Level("products", "product", "productNumber", (ATTRIBUTES,))
 CATEGORIES = Level("subCategories", "category", "shortDescription", recursive=True)
-NODE = "payload_id long, node_kind string, parent_path string, node_path string, node_text string"
 
 
 def parsed(payloads: DataFrame, body: str = "body") -> DataFrame:
@@ -49,8 +48,8 @@ def parsed(payloads: DataFrame, body: str = "body") -> DataFrame:
 
 
 def merged_schema(docs: DataFrame) -> str:
-    """The schema of all documents merged, as text; an aggregate over the documents."""
-    return docs.agg(F.schema_of_variant_agg("doc").alias("s")).first()[0] or ""
+    """The schema of all documents (``item``) merged, as text; an aggregate over the documents."""
+    return docs.agg(F.schema_of_variant_agg("item").alias("s")).first()[0] or ""
 
 
 def members(value: Column) -> Column:
@@ -76,32 +75,32 @@ def children(parents: DataFrame, level: Level) -> DataFrame:
     )
 
 
-def flatten(roots: DataFrame, level: Level, deepest: int) -> DataFrame:
-    """All nodes below ``roots`` (payload_id, node_path, item), level by level.
+def flatten(roots: DataFrame, level: Level, schema: str) -> DataFrame:
+    """All nodes below ``roots`` (payload_id, node_path, item), level by level, of the levels that the merged schema has.
 
     Each level is materialised once in the shared checkpoint folder and read both for its rows and for the level
-    below; without that, level n would be exploded again n times.  ``deepest`` is a bound from the merged schema.
+    below; without that, level n would be exploded again n times.
     """
-    out: DataFrame | None = None
+    out = roots.where("false").select("payload_id", *[F.lit("").alias(c) for c in ("node_kind", "parent_path", "node_path", "node_text")])
     frontier = [(roots, (level,))]
-    for _ in range(deepest):
+    while frontier:
         below = []
         for parents, levels in frontier:
             for inner in levels:
+                if not occurs(schema, inner.field):
+                    continue
                 table = durable(children(parents, inner))
-                out = table.drop("item") if out is None else out.unionByName(table.drop("item"))
+                out = out.unionByName(table.drop("item"))
                 if inner.inner() and not table.isEmpty():
                     below.append((table, inner.inner()))
         frontier = below
-        if not frontier:
-            break
     return out
 
 
-def depth_of(schema: str, name: str) -> int:
-    """How often ``name`` is nested in itself, at most, in a schema text; members of mixed shape end the schema, so the
-    count of that name in the whole text plus one is the bound used."""
-    return schema.count(f"{name}:") + 1
+def occurs(schema: str, name: str) -> bool:
+    """Whether a field may occur in documents of a merged schema; where members differ in shape, the schema ends in
+    VARIANT and anything may lie below."""
+    return f"{name}:" in schema or f"`{name}`:" in schema or "VARIANT" in schema
 
 
 def payload_nodes(payloads: DataFrame) -> DataFrame:
@@ -113,21 +112,15 @@ def payload_nodes(payloads: DataFrame) -> DataFrame:
     Repeated payload ids repeat their rows; further columns don't matter; an empty table gives an empty one.
     """
     docs = durable(parsed(payloads).select("payload_id", "kind", F.col("doc").alias("item"), F.lit("").alias("node_path")))
-    tree = docs.where("kind = 'categories'")
-    found = flatten_categories(tree)
-    search = flatten(docs.where("kind = 'search'"), PRODUCTS, 3)
+    schema = merged_schema(docs)
+    found = flatten_categories(docs.where("kind = 'categories'"), schema)
+    search = flatten(docs.where("kind = 'search'"), PRODUCTS, schema)
     detail = docs.where("kind = 'product_detail'").where(F.schema_of_variant("item").startswith("OBJECT"))
     root = detail.select("payload_id", F.lit("product").alias("node_kind"), F.lit("").alias("parent_path"), F.lit("0").alias("node_path"), text_of(F.col("item"), PRODUCTS.text).alias("node_text"), "item")
-    below = flatten(root, ATTRIBUTES, 2)
+    below = flatten(root, ATTRIBUTES, schema)
     return found.unionByName(search).unionByName(root.drop("item")).unionByName(below)
 
 
-def flatten_categories(tree: DataFrame) -> DataFrame:
+def flatten_categories(tree: DataFrame, schema: str) -> DataFrame:
     """The category trees, of any depth: ``categories`` at the root, ``subCategories`` below."""
-    root = Level("categories", "category", "shortDescription")
-    top = durable(children(tree, root))
-    out = top.drop("item")
-    while not top.isEmpty():
-        top = durable(children(top, CATEGORIES))
-        out = out.unionByName(top.drop("item"))
-    return out
+    return flatten(tree, Level("categories", "category", "shortDescription", (CATEGORIES,)), schema)
