@@ -46,7 +46,7 @@ CONNECTIONS = {
     "sweat": ["sweat", "solder end", "solder ends"],
 }
 # Words that may stand before a series number without being the series word.
-NO_SERIES = set("series a an the as in by from with for of and to at comes supplied this model line number no item part rev revision".split())
+NO_SERIES = set("series a an the as in by from with for of and to at comes supplied this model line number no item part rev revision size type material connection mm cm in inch inches".split())
 # Labels of attributes by what they state, in letters and digits.
 LABELS = {
     "kind": {"type", "producttype", "item", "itemtype", "kind", "parttype", "product"},
@@ -59,6 +59,8 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+")
 CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
 #: A number of three or more digits is no part of a mixed fraction behind it.
 LONG_NUMBER = re.compile(rf"(\d{{3,}})\s+(?=\d+\s?/\d|[{FRACTION_SIGNS}])|(?<=\bin)\s+(?=\d)", re.I)
+#: Blanks that a reformatted copy has inside a number.
+TORN = re.compile(r"(?<=\d)\s*([/⁄])\s*(?=\d)|(?<=\d)\s*(-)\s*(?=\d+\s*[/⁄]\s*\d)|(?<=\d)\s+(\.)\s*(?=\d)|(?<=\d)\s*(\.)\s+(?=\d)")
 #: Nominal sizes beyond this (24 inches, in nm) are taken for other numbers with a quotation mark behind them.
 LARGEST = 24 * 25_400_000
 FACETS = ("series_word", "series_no", "kind", "size", "material", "connection")
@@ -86,6 +88,7 @@ class Facets:
 
     def size(self, text: str) -> tuple[str, str]:
         """The first length stated, in micrometres, and the text with the lengths blanked out."""
+        text = TORN.sub(lambda m: m[m.lastindex], text)
         text = LONG_NUMBER.sub(lambda m: f"{m[1] or ''} | ", text)
         found, out, at = "", [], 0
         for item in self.reader.items(text):

@@ -62,9 +62,11 @@ def nodes(listings: DataFrame) -> DataFrame:
     """canonical -> node, places, rest.  Copies share the reading of the best readable one; a listing without all five
     places is a node by itself."""
     filled = sum((F.col(p) != "").cast("int") for p in PLACES)
-    # of readings that are equally full the smaller size counts: a copy may have lost its decimal point, not gained one
+    # of readings that are equally full the most frequent counts, then the one with the smaller size: a copy may have lost
+    # its decimal point, not gained one
     small = -F.coalesce(F.col("size").try_cast("bigint"), F.lit(0))
-    best = listings.groupBy("canonical").agg(F.max(F.struct(filled.alias("filled"), small.alias("small"), *PLACES, "rest")).alias("best")).select("canonical", "best.*")
+    readings = listings.groupBy("canonical", *PLACES).agg(F.count("*").alias("n"), F.min("rest").alias("rest"))
+    best = readings.groupBy("canonical").agg(F.max(F.struct(filled.alias("filled"), "n", small.alias("small"), *PLACES, "rest")).alias("best")).select("canonical", "best.*")
     whole = F.concat_ws("|", *PLACES)
     return best.select("canonical", F.when(F.col("filled") == len(PLACES), whole).otherwise(F.concat(F.lit("?"), F.col("canonical"))).alias("node"), *PLACES, F.when(F.col("filled") == len(PLACES), "").otherwise(F.col("rest")).alias("rest"))
 
