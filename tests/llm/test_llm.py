@@ -65,7 +65,7 @@ def test_a_hot_group_of_copies(spark):
     ("series", "description", "attributes"),
     [
         ("Kestrel 101", "MNPT, 1-1/4 in, Check Valve, SS316", None), ("", "This Non-Return Valve from Oxmoor comes as 31.75 mm 316 Stainless 101 Kestrel Male NPT, leak tested", {}), (None, "Series = Kestrel Series 101; Type: NRV; best value", {"Nominal Size:": "1¼ in", "Mat'l": "Stainless Steel 316", "Conn. Type": "NPT Male", "List Price": "304.00"}),
-        ("OxmoorKestrel 101", "1.25 in|316 stainless|CheckValve|mnpt", {"Notes": "12 x 9"}), ("KESTREL101", 'Check Valve by Oxmoor in 1-1/4" SS316 Male NPT', None), (None, "Check Valve | KESTREL 101 1-1/4 in 316 Stainless Male NPT", None),
+        ("OxmoorKestrel 101", "1.25 in|316 stainless|CheckValve|mnpt", {"Notes": "12 x 9"}), ("KESTREL101", 'Check Valve by Oxmoor in 1-1/4" SS316 Male NPT', None), ("101 Kestrel", "1-1 / 4 in 316 Stainless, NRV; male NPT", None), (None, "Check Valve | KESTREL 101 1-1/4 in 316 Stainless Male NPT", None),
     ],
 )
 def test_facets(series, description, attributes):
