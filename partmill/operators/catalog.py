@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from partmill.functions.text import blank, squash
+from partmill.session import durable
 
 
 def clean_sections(raw: DataFrame, total_pages: int) -> DataFrame:
@@ -54,13 +55,17 @@ def checked_parts(parts: DataFrame, pages: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, page: str = "page_no", idx: str = "idx") -> DataFrame:
     """``sequence`` 1..N in the order of (page, idx), without a global window.
 
-    Rows are numbered within their page; the pages' counts are summed up by a window over one row for each page, whose
-    number is that of the pages, not of the rows.
+    The rows are range partitioned and sorted; a row's number is its place in its partition and the number of rows in
+    the partitions before, of which there is one row for each partition.  A page that holds most rows is split as well.
     """
-    inner = rows.withColumn("in_page", F.row_number().over(Window.partitionBy(page).orderBy(idx)))
-    counts = rows.groupBy(page).agg(F.count("*").alias("n"))
-    offsets = counts.select(page, (F.coalesce(F.sum("n").over(Window.orderBy(page).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("offset"))
-    return inner.join(offsets, page).withColumn("sequence", (F.col("offset") + F.col("in_page")).cast("bigint")).drop("in_page", "offset")
+    order = [F.col(page), F.col(idx)]
+    marked = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mark", F.monotonically_increasing_id()))
+    part = F.shiftright("mark", 33)
+    counts = marked.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.col("mark").bitwiseAND(F.lit((1 << 33) - 1))
+    return marked.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("sequence", (F.col("offset") + inside + 1).cast("bigint")).drop("part", "mark", "offset")
 
 
 def validate_catalog(parts: DataFrame, pages: DataFrame, sections: DataFrame) -> DataFrame:
