@@ -84,7 +84,8 @@ class Facets:
         self.longest = 4  # words of the longest phrase
         self.reader = Reader()
         self.scan = lru_cache(1 << 16)(self._scan)  # most fields come again and again
-        self.label_of = {label: facet for facet, labels in LABELS.items() for label in labels}
+        known = {label: facet for facet, labels in LABELS.items() for label in labels}
+        self.label_of = lru_cache(1 << 14)(lambda label: known.get("".join(c for c in label.lower() if c.isalnum())))
 
     def size(self, text: str) -> tuple[str, str]:
         """The first length stated, in micrometres, and the text with the lengths blanked out."""
@@ -147,8 +148,7 @@ class Facets:
         rest: list[str] = []
         normal = lambda s: unicodedata.normalize("NFC", s or "").replace("‑", "-").replace("‐", "-").replace("–", "-")
         for label, value in (attributes or {}).items():
-            facet = self.label_of.get("".join(c for c in (label or "").lower() if c.isalnum()))
-            if facet and value:
+            if value and self.label_of(label or ""):
                 self.take(normal(value), out, rest)
         if series:
             self.take(normal(series), out, rest)
