@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -43,12 +44,12 @@ class Element:
         return between.join(t for t in (x.strip() for x in self.texts()) if t)
 
     def select(self, selector: str) -> list[Element]:
-        chains = [Chain(part) for part in selector.split(",")]
-        return [e for e in self.walk() if any(c.fits(e) for c in chains)]
+        found = chains(selector)
+        return [e for e in self.walk() if any(c.fits(e) for c in found)]
 
     def select_one(self, selector: str) -> Element | None:
-        chains = [Chain(part) for part in selector.split(",")]
-        return next((e for e in self.walk() if any(c.fits(e) for c in chains)), None)
+        found = chains(selector)
+        return next((e for e in self.walk() if any(c.fits(e) for c in found)), None)
 
 
 class Chain:
@@ -101,6 +102,11 @@ class Chain:
         return self.meets(element, *self.steps[-1][1:]) and climb(element.parent, len(self.steps) - 2)
 
 
+@lru_cache(256)
+def chains(selector: str) -> tuple[Chain, ...]:
+    return tuple(Chain(part) for part in selector.split(","))
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
