@@ -349,7 +349,7 @@ def product_page_parse(spark, sf_dir):
     return found.select("url", "part_no", "category", "subcategory", "series", F.explode("attributes").alias("label", "value"))
 
 
-@query("SELECT search, url, rank_in_key FROM (SELECT *, row_number() OVER (PARTITION BY search ORDER BY pos, url) AS rank_in_key FROM (SELECT site AS search, url, min(pos) AS pos FROM part_records WHERE url IS NOT NULL AND contains(url, '/p/') GROUP BY 1, 2)) WHERE rank_in_key <= 10")
+@query("SELECT search, url, rank_in_key::INT AS rank_in_key FROM (SELECT *, row_number() OVER (PARTITION BY search ORDER BY pos, url) AS rank_in_key FROM (SELECT site AS search, url, min(pos) AS pos FROM part_records WHERE url IS NOT NULL AND contains(url, '/p/') GROUP BY 1, 2)) WHERE rank_in_key <= 10")
 def search_hits_topk(spark, sf_dir):
     links = table(spark, sf_dir, "part_records").select(F.col("site").alias("search"), F.col("url").alias("target"), "pos")
     return site_urls.search_hits(links, r"/p/").select("search", "url", "rank_in_key")
@@ -406,7 +406,7 @@ def added_count(spark, sf_dir):
     return merge.added_count(table(spark, sf_dir, "raw_parts"), table(spark, sf_dir, "part_records"))
 
 
-@query("SELECT event_type, count(*) AS runs, sum((props->>'$.k')::BIGINT) AS k, min(event_id) AS first_id FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS runs, sum((props->>'$.k')::BIGINT)::BIGINT AS k, min(event_id) AS first_id FROM events GROUP BY 1")
 def run_history(spark, sf_dir):
     k = F.from_json("props", "k long")["k"]
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("runs"), F.sum(k).alias("k"), F.min("event_id").alias("first_id"))
