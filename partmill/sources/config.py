@@ -35,7 +35,7 @@ def _pattern_problem(name: str, value) -> list[str]:
     try:
         re.compile(value)
     except re.error as error:
-        return [f"enumeration.{name} is not a valid regex: {error}"]
+        return [f"enumeration.{name}: the pattern does not compile ({error})"]
     return []
 
 
@@ -45,22 +45,22 @@ def problems(config: SiteConfig) -> list[str]:
         return []
     out = []
     if not _text(config.selectors.get("part_no")):
-        out.append("selectors.part_no must be a non-empty string")
+        out.append("selectors.part_no: a selector is missing")
     rows = config.selectors.get("attributes")
     if rows is not None and not (isinstance(rows, dict) and all(k in rows for k in ("row", "label", "value"))):
-        out.append("selectors.attributes must be a dict with row, label, and value keys")
+        out.append("selectors.attributes: row, label and value are needed")
     how = config.enumeration
     required = {"sitemap": ["sitemap_url", "product_url_pattern"], "category_crawl": ["start_urls", "product_link_pattern"]}
     strategy = how.get("strategy")
     if strategy not in required:
-        return [*out, f"enumeration.strategy must be 'sitemap' or 'category_crawl', got {strategy!r}"]
+        return [*out, f"enumeration.strategy: {strategy!r} is unknown; known are {', '.join(required)}"]
     for name in required[strategy]:
         value = how.get(name)
         if name == "start_urls":
             if not (isinstance(value, list) and value):
-                out.append(f"enumeration.{name} must be a non-empty list for {strategy} strategy")
+                out.append(f"enumeration.{name}: {strategy} needs at least one")
         elif not _text(value):
-            out.append(f"enumeration.{name} must be a non-empty string for {strategy} strategy")
+            out.append(f"enumeration.{name}: {strategy} needs a text")
         elif name.endswith("pattern"):
             out += _pattern_problem(name, value)
     if strategy == "category_crawl" and how.get("category_link_pattern") is not None:

@@ -74,7 +74,7 @@ def read_rows(path: str | Path) -> Iterator[tuple[int, dict[int, object]]]:
                     yield int(row.get("r") or 0), cells
                     row.clear()
     except (OSError, KeyError, IndexError, ValueError, zipfile.BadZipFile, ElementTree.ParseError) as error:
-        raise OutputError("The Excel file could not be opened. Check that it is a valid Excel file and try again.") from error
+        raise OutputError("The workbook can't be read; is it an .xlsx file?") from error
 
 
 @dataclass
@@ -103,7 +103,7 @@ def load_filter_sheet(path: str | Path) -> FilterSheet:
         if number >= first and (text := to_text(cells.get(column))):
             entries.append((text, number))
     if not entries:
-        raise OutputError("No part numbers were found in the Excel file. Expected them in a column headed 'Part No' (or in the first column).")
+        raise OutputError("The part list is empty: neither a column headed 'Part No' nor the first column holds a number.")
     return FilterSheet(label, entries)
 
 
