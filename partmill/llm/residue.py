@@ -1,12 +1,12 @@
 """Template residue, filler, error pages and demands to allow scripts.
 
-Method: records are cut into segments (sentences of lines) and each segment is aligned with the template it was made
-from: numbers, ids and delimited tokens are slots.  A slot that retains a variable name, a default or nothing marks its
-document, wherever it stands.  The names are induced from the corpus: identifiers in unmistakable template delimiters,
-counted over all documents, are variable names, and are then recognised in weaker delimiters too.  Whole pages are
-templates as well: a page that has nothing but error, failure, filler or script-demand segments beside headings,
-navigation and copyright lines is residue, and so is a page without catalog content whose template repeats over many
-documents and speaks to a visitor.
+Method: records are cut into segments (sentences of lines) and segments that share a template are grouped over all
+documents; slots are induced from what varies in them (``slots``).  A slot that retains a variable name, a default or
+nothing marks its document, wherever it stands.  Names are induced from the corpus too: identifiers in unmistakable
+template delimiters, counted over all documents, are variable names, and are then recognised in weaker delimiters.
+Whole pages are templates as well: a page that has nothing but error, failure, filler or script-demand segments beside
+headings, navigation and copyright lines is residue.  So is a page whose template repeats over many documents, if it
+speaks to a visitor, or if its slots vary, it states no catalog values and its segments stand on no other page.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NAME = r"[A-Za-z][\w]*(?:[._\-][A-Za-z]\w*)*"
+from partmill.llm import slots
+from partmill.llm.slots import NAME
+
 # Delimiters that nothing but a template uses, around a variable name.
 STRONG = re.compile(
     rf"\{{\{{[\s#/&^>{{-]*(?P<a>{NAME})[^{{}}]*\}}\}}|\$\{{\s*(?P<b>{NAME})\s*\}}|#\{{\s*(?P<c>{NAME})\s*\}}|<%[=\-#]?\s*(?P<d>{NAME})[^%<>]*%>|\{{%-?\s*(?P<e>{NAME})[^%{{}}]*%\}}"
@@ -77,6 +79,8 @@ SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 NAVIGATION = re.compile(r"(?:home|start|main|menu|startseite|accueil|inicio)\b.*[>»/|›].*|[^.!?|]{1,40}(?:\s[|»›>·]\s[^.!?|]{1,40}){1,12}|(?:home|contact|cart|login|sitemap|imprint|privacy|back|next|top)", re.I)
 COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright)\s.{0,80}|.{0,40}all rights reserved.{0,20}", re.I)
 ADDRESS = re.compile(r"\b(?:please|sorry|oops|reload|refresh|try again|webmaster|your browser|your request|sign in|log in|session|start page|javascript|cookies|scripts?)\b", re.I)
+#: Values that only catalog content states: numbers with a unit or a price.
+CATALOG = re.compile(r"\d\s?(?:mm|cm|m|in|inch|inches|ft|psi|bars?|kpa|mpa|kg|g|lbs?|oz|gpm|l|degrees|°|stück|pi[eè]ces|piezas|pieces|pcs)\b|\d\s?[\"°€%]|[$€£]\s?\d|\d+/\d+", re.I)
 HEADING_WORD = re.compile(r"[A-ZÀ-Þ0-9][\w'’&+./-]*$")
 
 
@@ -147,7 +151,7 @@ def page(text: str) -> tuple[bool, str]:
         residue += kind == "residue"
         if kind == "content":
             content += 1
-            if content > 4 or not ADDRESS.search(segment):
+            if not ADDRESS.search(segment):
                 return False, ""
         if kind != "beside":
             template.append(re.sub(r"\b(?=\w*\d)[\w-]+\b", "#", clean(segment).lower()))
@@ -155,19 +159,36 @@ def page(text: str) -> tuple[bool, str]:
 
 
 def signs(docs: DataFrame) -> DataFrame:
-    """doc_id, strong ARRAY, weak ARRAY, whole BOOLEAN, template STRING of every document that has any sign."""
+    """Of every document doc_id, strong ARRAY, weak ARRAY, whole BOOLEAN, template STRING, its segments and, if it states
+    no catalog values, the segments beside headings, the hash of these and of the text."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                strong, weak = strong_names(text), weak_names(text)
                 whole, template = page(text)
-                if strong or weak or whole or template:
-                    out.append((doc_id, sorted(strong), sorted(weak), whole, template))
-            yield pd.DataFrame(out, columns=["doc_id", "strong", "weak", "whole", "template"])
-
-    return docs.where("text is not null").select("doc_id", "text").mapInPandas(read, "doc_id long, strong array<string>, weak array<string>, whole boolean, template string")
+                parts = {}
+                for segment, _ in segments(text):
+                    form, empty = slots.template_of(segment)
+                    if form:
+                        parts.setdefault((form, tuple(empty)), {"template": form, "empty": empty})
+                content = [] if whole or CATALOG.search(text) else [slots.template_of(s)[0] for s, line in segments(text) if kind_of(s, line) == "content"]
+                out.append((doc_id, sorted(strong_names(text)), sorted(weak_names(text)), whole, template, content, text if content else "", list(parts.values())))
+            yield pd.DataFrame(out, columns=["doc_id", "strong", "weak", "whole", "template", "contents", "text", "parts"])
+
+    schema = "doc_id long, strong array<string>, weak array<string>, whole boolean, template string, contents array<string>, text string, parts array<struct<template: string, empty: array<int>>>"
+    found = docs.where("text is not null").select("doc_id", "text").mapInPandas(read, schema)
+    return found.withColumn("page", F.when(F.size("contents") > 0, F.xxhash64("contents"))).withColumn("text", F.xxhash64("text"))
+
+
+def page_templates(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """doc_id of the pages whose template repeats with different slots and shares no segment with other pages."""
+    pages = found.where("page is not null and not whole")
+    varied = pages.groupBy("page").agg(F.count_distinct("text").alias("texts")).where(F.col("texts") >= LEAST_PAGE).select("page")
+    pages = pages.join(varied, "page").select("doc_id", "page", F.explode("contents").alias("template"))
+    theirs = pages.select("template", "page").distinct()
+    shared = parts.select("template", F.col("page").alias("other")).distinct().join(theirs, "template").where(~F.col("page").eqNullSafe(F.col("other"))).select("page").distinct()
+    return pages.join(shared, "page", "left_anti").select("doc_id").distinct()
 
 
 def residue(docs: DataFrame) -> DataFrame:
@@ -179,9 +200,12 @@ def residue(docs: DataFrame) -> DataFrame:
     from partmill.session import durable
 
     found = durable(signs(docs))
+    parts = found.select("doc_id", "page", F.inline("parts"))
     names = found.select(F.explode("strong").alias("name")).groupBy("name").count().where(F.col("count") >= LEAST_NAME).select("name")
     certain = found.where("size(strong) > 0 or whole").select("doc_id")
     weak = found.select("doc_id", F.explode("weak").alias("name")).join(names, "name").select("doc_id")
     repeated = found.where("template <> ''").groupBy("template").count().where(F.col("count") >= LEAST_PAGE).select("template")
     pages = found.where("template <> ''").join(repeated, "template").select("doc_id")
-    return certain.unionByName(weak).unionByName(pages).distinct()
+    varied = page_templates(found, parts)
+    unfilled = slots.unfilled_documents(parts.select("doc_id", "template", "empty"))
+    return certain.unionByName(weak).unionByName(pages).unionByName(varied).unionByName(unfilled).distinct()

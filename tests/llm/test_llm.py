@@ -229,3 +229,19 @@ def test_a_repeated_page_that_speaks_to_a_visitor(spark):
     page = "Reload the list of Plovera {} please if your session ended"
     table = spark.createDataFrame([(i, page.format(i)) for i in range(4)] + [(9, "Please order the Plovera union by its number")], "doc_id long, text string")
     assert sorted(r.doc_id for r in residue.residue(table).collect()) == [0, 1, 2, 3]
+
+
+def test_slots_of_templates(spark):
+    fill = ["brass", "bronze", "nylon", "carbon steel"]
+    texts = [f"Rated for {i}0 psi when used with {fill[i % 4]} pipe.\nBody colour: {fill[i % 4]}" for i in range(40)]
+    left = ["Rated for 20 psi when used with [drain] pipe.", "Rated for psi when used with nylon pipe.", "Rated for 20 psi when used with  pipe.", "Rated for 30 psi when used with TBD pipe.", "Body colour:"]
+    kept = ["Rated for 70 psi when used with lead pipe.", "Other heading:", "Fit the [drain] pipe to the wall."]
+    table = spark.createDataFrame([*enumerate([*texts, *left, *kept])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in residue.residue(table).collect()) == [40, 41, 42, 43, 44]
+
+
+def test_a_repeated_error_page_without_known_wording(spark):
+    pages = [f"ZQX-{i}: cannot open cursor for query" for i in range(4)]
+    catalog = [f"Order code GO{i} from the list" for i in range(4)] + ["Order code GO9 from the list\nKeep the union dry in storage."] + ["A copied page keeps its sentence"] * 4
+    table = spark.createDataFrame([*enumerate([*pages, *catalog])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in residue.residue(table).collect()) == [0, 1, 2, 3]
