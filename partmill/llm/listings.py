@@ -8,7 +8,8 @@ advertising words are left over).  Copies are collapsed before anything is sorte
 all five places are one node, so a product that holds a third of all rows is one row in the sorts.  Nodes are sorted
 five times, each time with another place last; in a window of neighbours those that agree in all but the last place are
 compared by aligning their tokens: words that differ by one slip, or a place that one of them has only glued to other
-words, are links.  The links are clustered by pivots.
+words, are links.  Blocks that agree in four places and hold more nodes than a window are joined on these places too, so
+that none of their links depends on the sort.  The links are clustered by pivots.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from partmill.llm import copies
 from partmill.llm.facets import FACETS, Facets
-from partmill.llm.slips import within
+from partmill.llm.slips import deletions, within
 from partmill.session import durable
 
 #: Neighbours that each node is compared with in each pass.
@@ -71,6 +72,12 @@ def nodes(listings: DataFrame) -> DataFrame:
     return best.select("canonical", F.when(F.col("filled") == len(PLACES), whole).otherwise(F.concat(F.lit("?"), F.col("canonical"))).alias("node"), *PLACES, F.when(F.col("filled") == len(PLACES), "").otherwise(F.col("rest")).alias("rest"))
 
 
+def held(text: str, rest: str) -> bool:
+    """Whether other words hold all words of a place, glued or with one slip."""
+    glued, others = rest.replace(" ", ""), rest.split()
+    return all(w in glued or any(len(w) > 4 and within(w, o, 1) for o in others) for w in text.split())
+
+
 def aligned(a: dict, b: dict) -> bool:
     """Whether two nodes align: every place agrees, or differs by one slip in the series word with the same number, or
     is missing in one whose other words hold it, glued or with one slip."""
@@ -85,9 +92,7 @@ def aligned(a: dict, b: dict) -> bool:
             if xn != yn or min(len(xw), len(yw)) < 6 or not within(xw, yw, 1):
                 return False
         elif x or y:
-            glued, words = (b["rest"] if x else a["rest"]).replace(" ", ""), (x or y).split()
-            others = (b["rest"] if x else a["rest"]).split()
-            if not all(w in glued or any(len(w) > 4 and within(w, o, 1) for o in others) for w in words):
+            if not held(x or y, b["rest"] if x else a["rest"]):
                 return False
         else:
             return False
@@ -160,13 +165,52 @@ def neighbour_links(table: DataFrame, order: list[str], width: int = WINDOW) ->
     return inside.unionByName(edges.groupBy("line").applyInPandas(across, "a string, b string"))
 
 
+def block_links(table: DataFrame, width: int = WINDOW) -> DataFrame:
+    """a, b: all links within blocks of more nodes than a window holds, by equi-joins on the four places that agree."""
+    lacking = full = None
+    for place in PLACES:
+        others = [p for p in PLACES if p != place]
+        whole = table.where(" and ".join(f"{p} <> ''" for p in others))
+        large = whole.groupBy(*others).agg(F.count("*").alias("n"), F.count_if(F.col(place) == "").alias("lack")).where(F.col("n") > width + 1)
+        have = whole.where(F.col(place) != "").select(*others, F.col("node").alias("b"), F.col(place).alias("text"))
+        lack = whole.where(F.col(place) == "").join(large.where("lack > 0").select(*others), others, "left_semi").select(*others, F.col("node").alias("a"), "rest")
+        # words too short for a slip must stand in the other words as they are; this spares most pairs the alignment
+        pairs = lack.join(have, others).where(F.expr("forall(split(text, ' '), w -> length(w) > 4 or contains(replace(rest, ' ', ''), w))")).select("a", "b", "text", "rest")
+        lacking = pairs if lacking is None else lacking.unionByName(pairs)
+        if place == "series":
+            full = whole.where(F.col(place) != "").join(large.select(*others), others, "left_semi").select(F.sha2(F.concat_ws("|", *others, F.substring_index("series", " ", -1)), 256).alias("block"), "node", F.expr("substring(series, 1, length(series) - length(substring_index(series, ' ', -1)) - 1)").alias("word"))
+
+    def ordered(pdf: pd.DataFrame, keep: list[bool]) -> pd.DataFrame:
+        rows = [(min(a, b), max(a, b)) for a, b, k in zip(pdf["a"], pdf["b"], keep) if k]
+        return pd.DataFrame(rows, columns=["a", "b"])
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield ordered(pdf, [held(t, r) for t, r in zip(pdf["text"], pdf["rest"])])
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(block, node, word, form) for block, node, word in zip(pdf["block"], pdf["node"], pdf["word"]) for form in deletions(word, 1)]
+            yield pd.DataFrame(rows, columns=["block", "node", "word", "form"])
+
+    def slip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield ordered(pdf, [within(v, w, 1) for v, w in zip(pdf["v"], pdf["w"])])
+
+    # words of one series number only: a block with one word has nothing to slip to
+    several = full.groupBy("block").count().where("count > 1").select("block")
+    forms = full.where(F.length("word") >= 6).join(several, "block", "left_semi").mapInPandas(spread, "block string, node string, word string, form string")
+    near = forms.select("block", "form", F.col("node").alias("a"), F.col("word").alias("v")).join(forms.select("block", "form", F.col("node").alias("b"), F.col("word").alias("w")), ["block", "form"]).where("a < b").select("a", "b", "v", "w").distinct()
+    # the clustering reads the links twice
+    return durable(lacking.mapInPandas(verify, "a string, b string").unionByName(near.mapInPandas(slip, "a string, b string")))
+
+
 def links(table: DataFrame, width: int = WINDOW) -> DataFrame:
-    """a, b: the distinct links of all passes; each pass has another place last."""
-    out = None
+    """a, b: the distinct links of all passes, each with another place last, and of the blocks beyond the window."""
+    out = block_links(table, width)
     for i in range(len(PLACES)):
         order = [*PLACES[i:], *PLACES[:i]]
-        found = neighbour_links(table, order, width)
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(neighbour_links(table, order, width))
     return out.distinct()
 
 

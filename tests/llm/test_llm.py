@@ -99,6 +99,15 @@ def test_windows_across_partitions(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_blocks_beyond_the_window(spark):
+    place = ("tee", "1", "pvc", "sweat")
+    full = [(f"f{i:02d}", f"{'abcdefghij'[i % 10]}kestrel{'klmnopqrst'[i % 10]} {500 + i}", *place, "") for i in range(50)]
+    lack = [(f"q{i:02d}", "", *place, f"101 lot{i} zebrawood") for i in range(40)]
+    slip = [("z0", "zebrawood 101", *place, ""), ("z1", "aebrawood 101", *place, "")]
+    found = {(r.a, r.b) for r in listings.links(spark.createDataFrame([*full, *lack, *slip], ", ".join(f"{c} string" for c in listings.NODE))).collect()}
+    assert {p for p in found if p[1] == "z0"} == {(f"q{i:02d}", "z0") for i in range(40)} and ("z0", "z1") in found
+
+
 def test_correlation_clusters(spark):
     edges = [(f"{g}{i}", f"{g}{j}") for g in "abc" for i in range(6) for j in range(i + 1, 6)] + [("a0", "b0")]
     found = {r.node: r.cluster for r in listings.correlation_clusters(spark.createDataFrame(edges, "a string, b string")).collect()}
