@@ -23,8 +23,6 @@ from partmill.llm.slips import deletions, distance
 from partmill.session import durable
 
 MOST_SLIPS = 2
-#: Words that a run may have; a number may be typed in so many pieces.
-MOST_WORDS = 6
 #: Terms of the vocabulary up to which its index is sent to every worker; beyond, the join is a shuffle.
 MOST_SENT = 200_000
 WORD = re.compile(r"[^\W_]+")
@@ -46,7 +44,7 @@ def vocabulary(refs: DataFrame) -> DataFrame:
 
 
 def runs(texts: DataFrame, shortest: int, longest: int) -> DataFrame:
-    """raw, run: the distinct runs of up to six words of each text whose length a term can have."""
+    """raw, run: the distinct runs of words of each text whose length a term can have, in however many pieces."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -55,7 +53,7 @@ def runs(texts: DataFrame, shortest: int, longest: int) -> DataFrame:
                 words, found = words_of(raw), set()
                 for i in range(len(words)):
                     run = ""
-                    for word in words[i : i + MOST_WORDS]:
+                    for word in words[i : i + longest]:  # each has a character at least
                         run += word
                         if len(run) > longest:
                             break

@@ -138,6 +138,12 @@ def test_matches(spark, sent):
     assert {r.ref_no for r in canonical.matches(entries, refs.limit(0)).collect()} == {""} and canonical.matches(entries.limit(0), refs).count() == 0
 
 
+def test_a_number_in_many_pieces(spark):
+    refs = spark.createDataFrame([("HC-33647-PVC", "Oxmoor", "Osprey", "x")], "ref_no string, brand string, series string, title string")
+    entries = spark.createDataFrame([(1, "2 pcs H C 3 3 6 4 7 P V C"), (2, "H.C.3.3.6.4.7.P.V")], "entry_id long, raw string")
+    assert sorted(tuple(r) for r in canonical.matches(entries, refs).collect()) == [(1, "HC-33647-PVC"), (2, "HC-33647-PVC")]
+
+
 def test_slips():
     assert [distance(a, b, 2) for a, b in (("abc", "abc"), ("abc", "acb"), ("abc", "ab"), ("abc", "xbcy"), ("abcd", "badc"), ("abc", "xyz"), ("", "ab"))] == [0, 1, 1, 2, 2, 3, 2]
     rng = random.Random(7)
