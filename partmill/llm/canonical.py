@@ -165,22 +165,31 @@ def ranked(candidates: DataFrame, refs: DataFrame, weights: DataFrame, sent: int
 
     Items that are equal after normalisation tie and all stay, but for texts that hold one of their numbers verbatim.
     """
-    # the rarest words weigh as much as unknown ones, so beyond the bound it is they that are left out
-    listed = weights.orderBy("weight", "word").limit(sent).collect()
-    weight = {r.word: r.weight for r in listed}
+    listed = weights.limit(sent + 1).collect()
+    weight = {r.word: r.weight for r in listed} if len(listed) <= sent else None
     unknown = weights.agg(F.max("weight")).first()[0] or 1.0
 
-    def score(raw: pd.Series, ref_no: pd.Series, title: pd.Series) -> pd.DataFrame:
+    def score(raw: pd.Series, ref_no: pd.Series, title: pd.Series, words: pd.Series, weighed: pd.Series) -> pd.DataFrame:
         scores, verbatim, number = [], [], []
-        for text, ref, name in zip(raw, ref_no, title):
-            scores.append(round(soft_tfidf(words_of(text), words_of(f"{ref} {name or ''}"), weight, unknown), 9))
+        for text, ref, name, known, w in zip(raw, ref_no, title, words, weighed):
+            its = weight if weight is not None else dict(zip(known, w)) if known is not None else {}
+            scores.append(round(soft_tfidf(words_of(text), words_of(f"{ref} {name or ''}"), its, unknown), 9))
             verbatim.append(re.search(rf"(?<![^\W_]){re.escape(ref)}(?![^\W_])", text) is not None)
             number.append("".join(words_of(ref)))
         return pd.DataFrame({"score": scores, "verbatim": verbatim, "number": number})
 
     rate = F.pandas_udf(score, "score double, verbatim boolean, number string")
     least = candidates.withColumn("least", F.min("slips").over(Window.partitionBy("raw"))).where("slips = least")
-    rated = least.join(refs.select("ref_no", "title"), "ref_no").withColumn("r", rate("raw", "ref_no", "title")).select("raw", "ref_no", "slips", "r.*")
+    titled = least.join(refs.select("ref_no", "title"), "ref_no")
+    if weight is not None:
+        titled = titled.withColumns({"words": F.lit(None).cast("array<string>"), "weighed": F.lit(None).cast("array<double>")})
+    else:
+        # beyond the bound each candidate gets the weights of its own words by a join
+        split = F.udf(lambda *x: sorted({w for t in x for w in words_of(t)}), "array<string>")
+        own = titled.select("raw", "ref_no", F.explode(split("raw", "ref_no", "title")).alias("word")).join(weights, "word")
+        own = own.groupBy("raw", "ref_no").agg(F.collect_list(F.struct("word", "weight")).alias("own")).select("raw", "ref_no", F.col("own.word").alias("words"), F.col("own.weight").alias("weighed"))
+        titled = titled.join(own, ["raw", "ref_no"], "left")
+    rated = titled.withColumn("r", rate("raw", "ref_no", "title", "words", "weighed")).select("raw", "ref_no", "slips", "r.*")
     # one score for items with equal numbers, so that spelling alone does not part them
     rated = rated.withColumn("score", F.max("score").over(Window.partitionBy("raw", "number"))).withColumn("exact", F.max("verbatim").over(Window.partitionBy("raw", "number")))
     rated = rated.where("verbatim or not exact").withColumn("best", F.max("score").over(Window.partitionBy("raw")))

@@ -144,6 +144,15 @@ def test_a_number_in_many_pieces(spark):
     assert sorted(tuple(r) for r in canonical.matches(entries, refs).collect()) == [(1, "HC-33647-PVC"), (2, "HC-33647-PVC")]
 
 
+def test_weights_beyond_the_bound(spark):
+    refs = spark.createDataFrame([(f"A-{i}", "Oxmoor", "Osprey", f"Oxmoor Osprey {'gate' if i < 6 else 'relief'} valve {'brass' if i % 2 else 'nylon'}") for i in range(8)], "ref_no string, brand string, series string, title string")
+    found = spark.createDataFrame([("oxmoor osprey brass relief", f"A-{i}", 0) for i in range(8)] + [("osprey nylon", f"A-{i}", 1) for i in range(3)], "raw string, ref_no string, slips int")
+    weights = canonical.word_weights(refs)
+    assert weights.count() > 2
+    few, many = (sorted(tuple(r) for r in canonical.ranked(found, refs, weights, sent).collect()) for sent in (2, 1000))
+    assert few == many and many
+
+
 def test_slips():
     assert [distance(a, b, 2) for a, b in (("abc", "abc"), ("abc", "acb"), ("abc", "ab"), ("abc", "xbcy"), ("abcd", "badc"), ("abc", "xyz"), ("", "ab"))] == [0, 1, 1, 2, 2, 3, 2]
     rng = random.Random(7)
