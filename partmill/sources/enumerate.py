@@ -87,18 +87,16 @@ def crawl_urls(edges: DataFrame, starts: DataFrame, product: str, category: str
     return tagged.groupBy("site").applyInPandas(run, "site string, pos long, url string")
 
 
-def reachable_urls(edges: DataFrame, starts: DataFrame, product: str, category: str, rounds: int = 100) -> DataFrame:
+def reachable_urls(edges: DataFrame, starts: DataFrame, product: str, category: str) -> DataFrame:
     """site, url of all product pages, by a set-based search without paging and budget: each round joins the frontier
-    with the links and drops what was visited."""
+    with the links and drops what was visited, until nothing new is reached."""
     from partmill.session import durable
 
     pages = durable(edges.where("target is not null").select("site", "url", "target").distinct())
     visited = frontier = durable(starts.select("site", "url").distinct())
-    for _ in range(rounds):
+    while not frontier.isEmpty():
         reached = pages.join(frontier, ["site", "url"]).select("site", F.col("target").alias("url")).where(matches(F.col("url"), category) & ~matches(F.col("url"), product)).distinct()
         frontier = durable(reached.join(visited, ["site", "url"], "left_anti"))
-        if frontier.isEmpty():
-            break
         visited = durable(visited.unionByName(frontier))
     return pages.join(visited, ["site", "url"]).select("site", F.col("target").alias("url")).where(matches(F.col("url"), product)).distinct()
 

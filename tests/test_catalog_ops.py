@@ -131,6 +131,14 @@ def test_crawl_order_paging_and_budget():
     assert site_urls.search_url("https://a/?q={query}", "GX 100/A") == "https://a/?q=GX%20100/A"
 
 
+def test_reachable_behind_a_long_chain(spark, monkeypatch):
+    # rounds of a few rows: held as local tables, for a checkpoint each takes a second
+    monkeypatch.setattr("partmill.session.durable", lambda df: spark.createDataFrame(df.toArrow()))
+    edges = [("a", f"/c/{i}", f"/c/{i + 1}") for i in range(103)] + [("a", "/c/103", "/p/9"), ("a", "/c/103", "/c/0"), ("a", "/c/0", "/p/1"), ("b", "/c/5", "/p/7")]
+    found = site_urls.reachable_urls(spark.createDataFrame(edges, "site string, url string, target string"), spark.createDataFrame([("a", "/c/0")], "site string, url string"), "^/p/", "^/c/")
+    assert sorted(r.url for r in found.collect()) == ["/p/1", "/p/9"]
+
+
 def test_sitemaps(spark):
     maps = spark.createDataFrame([("a", "<urlset xmlns='n'><url><loc> /p/1 </loc></url><url><loc>/p/1</loc></url><url><loc>/q</loc></url></urlset>"), ("b", "<x:sitemapindex xmlns:x='n'><x:sitemap><x:loc>/s.xml</x:loc></x:sitemap></x:sitemapindex>"), ("c", "no xml"), ("d", None)], "site string, xml string")
     assert [(r.site, r.loc) for r in site_urls.sitemap_urls(maps, "^/p/").collect()] == [("a", "/p/1")]
