@@ -17,7 +17,7 @@ from partmill.operators import catalog, match, merge, pages as page_ops
 from partmill.session import durable
 from partmill.sources.store import Store
 
-#: Entries of a part list up to which a site is searched for each of them instead of being crawled.
+#: Entries of a part list up to which a run of units ends early once all of them are found.
 SEARCH_LIMIT = 500
 PART = "part_no string, category string, subcategory string, series string, description string, attributes map<string,string>, pos long"
 
