@@ -1,4 +1,10 @@
-"""What a part listing states about its product: series word and number, kind, nominal size, material, connection."""
+"""What a part listing states about its product: series word and number, nominal size, and the wordings of its worded
+places (kind of part, material, connection), found with a vocabulary that the listings themselves teach.
+
+No wording is listed here.  Sellers label many of their statements (``Material: Bronze``); a wording that stands behind
+a label in some listings is recognised without one in the others.  Labels that mostly stand before the same wordings
+name the same place, and a place counts if nearly every listing states it (``places``).
+"""
 
 from __future__ import annotations
 
@@ -8,62 +14,21 @@ from functools import lru_cache
 
 from partmill.functions.quantities import FRACTION_SIGNS, Reader, base_value
 
-# Phrases for the kind of part, the material and the connection, by the name they stand for.
-KINDS = {
-    "ball valve": ["ball valve", "valve with ball", "bv quarter turn", "quarter turn ball valve", "ball type valve"],
-    "bushing": ["bushing", "reducing bush", "bush fitting", "reducer bushing"],
-    "cap": ["cap", "end cap", "closing cap"],
-    "check valve": ["check valve", "non return valve", "nonreturn valve", "nrv"],
-    "coupling": ["coupling", "full coupling", "coupler"],
-    "elbow 45": ["elbow 45", "45 elbow", "45 degree elbow", "elbow 45 deg", "45 deg elbow", "elbow 45 degree"],
-    "elbow 90": ["elbow 90", "90 elbow", "90 degree elbow", "elbow 90 deg", "90 deg elbow", "elbow 90 degree"],
-    "gate valve": ["gate valve", "gate type valve", "wedge gate", "wedge gate valve"],
-    "hose barb": ["hose barb", "barbed hose fitting", "hosetail", "hose tail"],
-    "nipple": ["nipple", "hex nipple", "close nipple"],
-    "plug": ["plug", "hex plug", "blanking plug"],
-    "pressure gauge": ["pressure gauge", "manometer", "gauge for pressure"],
-    "relief valve": ["relief valve", "safety valve", "prv", "pressure relief valve"],
-    "strainer": ["strainer", "y strainer", "filter strainer"],
-    "tee": ["tee", "branch tee", "t piece"],
-    "union": ["union", "straight union", "union joint"],
-}
-MATERIALS = {
-    "brass": ["brass", "brass body", "yellow brass"],
-    "bronze": ["bronze", "cast bronze"],
-    "carbon steel": ["carbon steel", "steel carbon", "cs"],
-    "galvanized iron": ["galvanized iron", "galv iron", "gi", "galvanised iron"],
-    "nylon": ["nylon", "polyamide"],
-    "pvc": ["pvc", "polyvinyl chloride"],
-    "stainless 304": ["304 stainless", "stainless steel 304", "ss 304", "304 ss", "304 stainless steel", "stainless 304"],
-    "stainless 316": ["316 stainless", "stainless steel 316", "ss 316", "316 ss", "316 stainless steel", "stainless 316"],
-}
-CONNECTIONS = {
-    "compression": ["compression", "comp ends", "compression ends"],
-    "flanged": ["flanged", "flange ends", "flanged ends"],
-    "female npt": ["female npt", "npt female", "fnpt"],
-    "male npt": ["male npt", "npt male", "mnpt"],
-    "push fit": ["push fit", "push to connect"],
-    "sweat": ["sweat", "solder end", "solder ends"],
-}
 # Words that may stand before a series number without being the series word.
 NO_SERIES = set("series a an the as in by from with for of and to at comes supplied this model line number no item part rev revision size type material connection mm cm in inch inches".split())
-# Labels of attributes by what they state, in letters and digits.
-LABELS = {
-    "kind": {"type", "producttype", "item", "itemtype", "kind", "parttype", "product"},
-    "material": {"material", "bodymaterial", "matl"},
-    "connection": {"connection", "endconnection", "conntype", "connectiontype", "ends"},
-    "size": {"size", "nominalsize"},
-    "series": {"series", "productseries", "productline", "line", "seriesname"},
-}
 TOKEN = re.compile(r"[^\W\d_]+|\d+")
 CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
+LABELLED = re.compile(r"^\s*([^:=]{2,40}?)\s*[:=]\s*(.+)$", re.S)
 #: A number of three or more digits is no part of a mixed fraction behind it.
 LONG_NUMBER = re.compile(rf"(\d{{3,}})\s+(?=\d+\s?/\d|[{FRACTION_SIGNS}])|(?<=\bin)\s+(?=\d)", re.I)
 #: Blanks that a reformatted copy has inside a number.
 TORN = re.compile(r"(?<=\d)\s*([/⁄])\s*(?=\d)|(?<=\d)\s*(-)\s*(?=\d+\s*[/⁄]\s*\d)|(?<=\d)\s+(\.)\s*(?=\d)|(?<=\d)\s*(\.)\s+(?=\d)")
 #: Nominal sizes beyond this (24 inches, in nm) are taken for other numbers with a quotation mark behind them.
 LARGEST = 24 * 25_400_000
-FACETS = ("series_word", "series_no", "kind", "size", "material", "connection")
+#: A whole field that is a length, with the usual spellings of millimetres and inches.
+LENGTH = rf"^[\s\W]*[0-9{FRACTION_SIGNS}][0-9{FRACTION_SIGNS}\s./⁄,-]*\s*(?:mm|cm|in|inch|inches|[\"”″])\W*$"
+#: The phrase that stands for all lengths, and the place that holds it.
+LENGTHS = "#"
 
 
 def tokens(text: str) -> list[str]:
@@ -71,21 +36,23 @@ def tokens(text: str) -> list[str]:
     return [t.lower() for t in TOKEN.findall(CAMEL.sub(" ", text))]
 
 
-def phrase_table() -> dict[str, tuple[str, str]]:
-    """Phrases without blanks, so that words glued together or parted are found too."""
-    return {"".join(tokens(p)): (facet, name) for facet, names in (("kind", KINDS), ("material", MATERIALS), ("connection", CONNECTIONS)) for name, phrases in names.items() for p in phrases}
+def plain(text: str) -> str:
+    """Letters and digits, case folded."""
+    return "".join(c for c in (text or "").upper().lower() if c.isalnum())
 
 
 class Facets:
-    """Reads the facets of listings."""
+    """Reads listings with a vocabulary.
+
+    phrases: wording in letters and digits -> place; labels: label in letters and digits -> place.
+    """
 
-    def __init__(self):
-        self.phrases = phrase_table()
-        self.longest = 4  # words of the longest phrase
+    def __init__(self, phrases: dict[str, str], labels: dict[str, str], size: str = ""):
+        self.phrases, self.labels, self.size_place = phrases, labels, size
+        self.longest = max(map(len, phrases), default=0)
         self.reader = Reader()
         self.scan = lru_cache(1 << 16)(self._scan)  # most fields come again and again
-        known = {label: facet for facet, labels in LABELS.items() for label in labels}
-        self.label_of = lru_cache(1 << 14)(lambda label: known.get("".join(c for c in label.lower() if c.isalnum())))
+        self.place_of = lru_cache(1 << 14)(lambda label: labels.get(plain(label), ""))
 
     def size(self, text: str) -> tuple[str, str]:
         """The first length stated, in micrometres, and the text with the lengths blanked out."""
@@ -100,8 +67,19 @@ class Facets:
                 at = item["end"]
         return found, "".join(out) + text[at:]
 
+    def phrase_at(self, words: list[str], i: int) -> tuple[str, int] | None:
+        """The longest known wording that begins at a word, however its words are parted, and how many words it takes."""
+        run, best = "", None
+        for j in range(i, len(words)):
+            run += words[j]
+            if len(run) > self.longest:
+                break
+            if run in self.phrases:
+                best = run, j + 1 - i
+        return best
+
     def _scan(self, text: str) -> tuple[tuple[tuple[str, str], ...], tuple[str, ...]]:
-        """((facet, value) stated, other words) of one field."""
+        """((place, wording) stated, other words) of one field."""
         found: list[tuple[str, str]] = []
         size, text = self.size(text)
         if size:
@@ -110,50 +88,51 @@ class Facets:
         kept: list[str | None] = []
         i = 0
         while i < len(words):
-            for n in range(min(self.longest, len(words) - i), 0, -1):
-                hit = self.phrases.get("".join(words[i : i + n]))
-                if hit:
-                    found.append(hit)
-                    kept.append(None)
-                    i += n
-                    break
+            hit = self.phrase_at(words, i)
+            if hit:
+                found.append((self.phrases[hit[0]], hit[0]))
+                kept.append(None)
             else:
                 kept.append(words[i])
-                i += 1
+            i += hit[1] if hit else 1
         for i, word in enumerate(kept):
             if word and word.isdecimal() and len(word) >= 3:
                 before = [w for w in kept[max(0, i - 2) : i] if w != "series"][-1:] or [None]
                 after = [w for w in kept[i + 1 : i + 3] if w != "series"][:1] or [None]
                 name = next((w for w in (before[0], after[0]) if w and not w.isdecimal() and len(w) > 2 and w not in NO_SERIES), None)
                 if name:
-                    found += [("series_word", name), ("series_no", word)]
+                    found.append(("series", f"{name} {word}"))
                     break
         return tuple(found), tuple(w for w in kept if w and w not in NO_SERIES)
 
-    def take(self, text: str, out: dict[str, str], rest: list[str]) -> None:
-        """Takes what ``text`` states; what is stated first counts."""
+    def take(self, text: str, place: str, out: dict[str, str], rest: list[str]) -> None:
+        """Takes what ``text`` states; what is stated first counts.  Behind the label of a place, a wording that is not
+        in the vocabulary is that place's too."""
         found, words = self.scan(text)
-        pair = "series_word" not in out
-        for facet, value in found:
-            if facet.startswith("series_"):
-                if pair:
-                    out[facet] = value
-            else:
-                out.setdefault(facet, value)
-        rest += words
+        for name, value in found:
+            out.setdefault(name, value)
+        if place and place != self.size_place and place not in out and (unknown := plain(text)):
+            out[place] = unknown
+        else:
+            rest += words
 
     def read(self, series: str | None, description: str | None, attributes: dict | None) -> tuple[dict[str, str], list[str]]:
-        """(facets stated, other words).  Labelled statements come before free text."""
+        """(wordings by place, other words).  Labelled statements come before free text."""
         out: dict[str, str] = {}
         rest: list[str] = []
         normal = lambda s: unicodedata.normalize("NFC", s or "").replace("‑", "-").replace("‐", "-").replace("–", "-")
         for label, value in (attributes or {}).items():
-            if value and self.label_of(label or ""):
-                self.take(normal(value), out, rest)
+            if value and plain(value) and (place := self.place_of(label or "")):
+                self.take(normal(value), place, out, rest)
+            elif value and not self.phrases:  # nothing was learned: all words count
+                self.take(normal(value), "", out, rest)
         if series:
-            self.take(normal(series), out, rest)
+            self.take(normal(series), "", out, rest)
         fields = [f for f in re.split(r"[,;|]", normal(description)) if f.strip()]
-        labelled = [f for f in fields if re.search(r"[:=]", f)]
-        for field in [*labelled, *(f for f in fields if f not in labelled)]:
-            self.take(field.strip(), out, rest)
+        labelled = [m for f in fields if (m := LABELLED.match(f))]
+        for m in labelled:
+            self.take(m[2].strip(), self.place_of(m[1]), out, rest)
+        for field in fields:
+            if not LABELLED.match(field):
+                self.take(field.strip(), "", out, rest)
         return out, rest

@@ -23,6 +23,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.listing_pairs(table(spark, sf_dir, "part_records"))
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.group_table(table(spark, sf_dir, "part_records"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, lines = table(spark, sf_dir, "part_records"), table(spark, sf_dir, "filter_entries")
     return copies.record_copies(records).unionByName(copies.line_copies(lines))
@@ -49,7 +53,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 PLAIN = r"regexp_replace(lower(upper(replace(replace(coalesce({0}, ''), 'ß', 'ss'), 'ſ', 's'))), '[^\p{{L}}\p{{N}}]', '', 'g')"
 RECORD_GROUPS = rf"""
