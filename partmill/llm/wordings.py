@@ -145,7 +145,7 @@ def same_wordings(evidence: DataFrame, most: int = MOST_SENT) -> DataFrame:
         pairs = best.groupBy("place", "rank").count().where("count = 2").select("place", F.col("rank.x").alias("cluster"), F.col("rank.y").alias("gone"))
         pairs = durable(pairs)
         if pairs.isEmpty():
-            return members
+            return members.select("place", "wording", "cluster")
 
         def renamed(table: DataFrame, column: str) -> DataFrame:
             to = pairs.select("place", F.col("gone").alias(column), F.col("cluster").alias("to"))
