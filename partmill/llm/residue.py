@@ -1,12 +1,13 @@
 """Template residue, filler, error pages and demands to allow scripts.
 
-Method: records are cut into segments (sentences of lines) and segments that share a template are grouped over all
+Method: records are cut into segments (sentences of lines) and segments that share a template are aligned over all
 documents; slots are induced from what varies in them (``slots``).  A slot that retains a variable name, a default or
 nothing marks its document, wherever it stands.  Names are induced from the corpus too: identifiers in unmistakable
 template delimiters, counted over all documents, are variable names, and are then recognised in weaker delimiters.
-Whole pages are templates as well: a page that has nothing but error, failure, filler or script-demand segments beside
-headings, navigation and copyright lines is residue.  So is a page whose template repeats over many documents, if it
-speaks to a visitor, or if its slots vary, it states no catalog values and its segments stand on no other page.
+Whole pages are templates as well: page templates that repeat with different slots and speak another language than the
+catalog's pages, found by counting, teach a model what residue looks like, and it decides the pages that do not repeat
+(``residue_pages``).  Well-known wordings of errors, filler and demands are further examples and decide by themselves,
+for tables too small to teach anything.
 """
 
 from __future__ import annotations
@@ -16,25 +17,28 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partmill.llm import slots
 from partmill.llm.slots import NAME
+from partmill.session import durable
 
-# Delimiters that nothing but a template uses, around a variable name.
-STRONG = re.compile(
-    rf"\{{\{{[\s#/&^>{{-]*(?P<a>{NAME})[^{{}}]*\}}\}}|\$\{{\s*(?P<b>{NAME})\s*\}}|#\{{\s*(?P<c>{NAME})\s*\}}|<%[=\-#]?\s*(?P<d>{NAME})[^%<>]*%>|\{{%-?\s*(?P<e>{NAME})[^%{{}}]*%\}}"
-    rf"|%%\s?(?P<f>{NAME})\s?%%|@@\s?(?P<g>{NAME})\s?@@|\[\[\s*(?P<h>{NAME})\s*\]\]|(?<![A-Za-z0-9_])__(?P<i>[A-Za-z][A-Za-z0-9_.]*?)__(?![A-Za-z0-9_])|\$(?P<j>{NAME})\$"
-    rf"|<your[ _-](?P<k>{NAME})>|\[your[ _-](?P<l>{NAME})\]|\[(?P<m>{NAME})(?: goes)? here\]|[<\[]insert[ _-](?P<n>{NAME})(?: here)?[>\]]|<(?P<o>{NAME})(?: goes) here>",
-    re.I,
-)
+STRONG = re.compile(slots.STRONG, re.I)
 #: Weaker delimiters, which catalog text may use as well; only induced names count in them.
 WEAK = re.compile(rf"(?<!\[)\[\s*({NAME})\s*\](?!\])|(?<!<)<\s*({NAME})\s*>(?!>)|(?<!\{{)\{{\s*({NAME})\s*\}}(?!\}})|(?<!%)%({NAME})%(?!%)|(?<!@)@({NAME})@(?!@)")
 #: Documents that must hold a name in strong delimiters before it counts in weaker ones.
 LEAST_NAME = 2
-#: Documents that a page template must recur in to count as repeated.
+#: Different texts that a page template must recur in to count as repeated.
 LEAST_PAGE = 3
+#: Part of the catalog pages up to which a word of theirs is foreign.
+RARE = 0.001
+#: Words that at least two catalog pages share, below which there is no language that a page could be foreign to.
+LEAST_WORDS = 300
+#: Part of a page's words that must be foreign if its template repeats, and if it doesn't.
+SOMEWHAT, FOREIGN = 0.2, 0.6
+#: Mean log odds from which a page is an example in the next round, and from which it is residue; rounds of fitting.
+SURE, DECIDED, ROUNDS = 1.0, 1.5, 3
 
 # Wording of the segments that stand for residue.
 THING = r"(?:your (?:request|session|search|order)|(?:this|the|our)(?: [\w-]+){0,3}?|no results?|an? (?:[\w-]+ )?error)"
@@ -51,16 +55,16 @@ RESIDUE = [
     r"page introuvable", r"(?:die )?seite (?:wurde )?nicht gefunden", r"p[aá]gina no encontrada", r"(?:der artikel|das produkt|die seite) ist nicht (?:mehr )?(?:verfügbar|vorhanden|erreichbar).{0,20}", r"(?:page|file|site|item|product|document|resource) not found",
     r"the page \S+ could not be .{3,40}", r"no results could be .{0,60}", r"access (?:is )?denied", r"(?:request|access|connection) (?:blocked|refused|rejected|reset)", r"permission denied",
     r"you (?:do not|don't) have (?:permission|access|the right).{0,60}", r"incident (?:number|id|no)?.{0,3}[\w-]{1,20}", r"(?:reference|ref|request|ray)(?: id| number| no)?[ :.#]{1,3}[0-9a-f-]{3,40}",
-    r"too many requests", r"slow down and .{3,40}", r"(?:please )?(?:try again|retry|come back|check back|sign in|log in)(?: .{0,50})?", r"(?:please )?contact (?:the |our |your )?(?:webmaster|administrator|support|site owner|help ?desk).{0,50}",
+    r"too many requests", r"slow down and .{3,40}", r"(?:please )?(?:try again|retry|come back|check back|sign in|log in)(?: .{0,50})?", r"(?:please )?contact (?:the |our |your )(?:webmaster|administrator|site owner|help ?desk).{0,50}",
     r"(?:go )?back to (?:the |our )?(?:start|home|front|previous) ?page", r"your session (?:has )?(?:timed out|expired|ended).{0,30}",
-    r"(?:fatal|parse|uncaught|unhandled|runtime|syntax|internal|server|database|unexpected|application|general)(?: \w+)? (?:error|exception)\b.{0,160}", r"stack ?trace.{0,20}", r"traceback \(most recent call last\).{0,20}", r"file \S+ line \d+.{0,80}", r"\w*(?:error|exception): .{0,100}", r"#?\d* ?\{?main\}?.{0,20}", r"(?:thrown )?(?:in|at) \S+(?:\.php|\.py|\.js|\.java|\.rb)\S*.{0,30}", r"warning: .{0,120} on line \d+",
+    r"(?:fatal|parse|uncaught|unhandled|runtime|syntax|internal|server|database|unexpected|application|general)(?: \w+)? (?:error|exception)\b.{0,160}", r"stack ?trace.{0,20}", r"traceback \(most recent call last\).{0,20}", r"file \S+ line \d+.{0,80}", r"\w+(?:error|exception): .{0,100}", r"#?\d* ?\{?main\}?.{0,20}", r"(?:thrown )?(?:in|at) \S+(?:\.php|\.py|\.js|\.java|\.rb)\S*.{0,30}", r"warning: .{0,120} in \S+\.\w+ on line \d+",
     r"(?:site|page|shop|catalog|server|system)? ?(?:is )?(?:under|down for|closed for|in) (?:maintenance|construction)",
     # demands about scripts or the browser
     rf"(?:{WHY},? ?)?(?:you (?:must|need to|have to|should) )?{DEMAND}.{{0,60}}(?<=.){SCRIPT}?.{{0,40}}",
 ]
 NOTICES = [
     rf"(?:this|the|our) [\w -]{{2,30}} (?:requires?|needs?) (?:[\w-]+ ){{0,2}}{SCRIPT}", rf"(?:\w+ and )?{SCRIPT} (?:is|are|must be|has to be|have to be|seems?|appears?)(?: to be)?(?: [\w-]+)* ?(?:disabled|off|blocked|required|allowed|enabled|needed|turned on|activated|not supported)(?: .{{0,60}})?",
-    r"(?:your|this) browser (?:is|does|has|version|cannot|can't).{0,80}", r"some features (?:will|may|might) not .{0,20}", r"switch to a (?:current|newer|different|modern|supported) (?:version|browser).{0,50}", r"checking your browser.{0,60}", r"this (?:will|may|might) take a (?:few seconds|moment|while)", r"(?:please )?wait(?: .{0,40})?", r"loading", r"redirecting.{0,30}",
+    r"(?:your|this) browser (?:is|does|has|version|cannot|can't).{0,80}", r"some features (?:will|may|might) not .{0,20}", r"switch to a (?:current|newer|different|modern|supported) (?:version|browser).{0,50}", r"checking your browser.{0,60}", r"this (?:will|may|might) take a (?:few seconds|moment|while)", r"(?:please )?wait(?: while .{0,40})?", r"loading", r"redirecting.{0,30}",
     r"if nothing (?:appears|happens).{0,60}", rf"(?:{WHY} ?,? ?)?(?:it|this|java ?script|js|scripting) is required(?: .{{0,30}})?", rf"you need (?:to \w+ )?{SCRIPT}.{{0,60}}", r"veuillez (?:activer|autoriser|accepter).{0,80}", r"bitte (?:aktivieren|erlauben|schalten|laden|versuchen).{0,80}", r"(?:por favor,? )?(?:active|habilite|permita) (?:java ?script|las cookies|los scripts).{0,80}", r"(?:verify|confirm) (?:that )?you are (?:not a robot|human).{0,30}",
     # filler
     r"(?:sample|placeholder|dummy|default|example) (?:text|description|paragraph|content|copy|title|headline|caption|image|product)(?: (?:for|goes|here|of|used|only|text)\b.{0,40})?", r"(?:this|it) is (?:a |an |some |just )?(?:dummy|sample|placeholder|test|filler|example) .{0,50}", r"(?:\w+ )?(?:description|text|content|copy|details?|images?|picture|specification|data ?sheet) (?:is |are |will be )?(?:coming soon|to be (?:added|supplied|provided|announced|written|completed|defined)|to follow|pending|not (?:yet )?available|missing|under construction)(?: .{0,30})?",
@@ -69,16 +73,13 @@ NOTICES = [
 SEGMENT = re.compile(rf"(?:{'|'.join([*RESIDUE[:-1], *NOTICES])})[\W_]*", re.I)
 SCRIPT_DEMAND = re.compile(rf"(?:{WHY},? ?)?(?:you (?:must|need to|have to|should) )?{DEMAND}(?P<rest>.*)", re.I)
 HAS_SCRIPT = re.compile(rf"\b{SCRIPT}\b", re.I)
-# Words of the usual filler text, and syllables of made-up filler words.
+# Words of the usual filler text.
 LOREM = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
-SYLLABLES = "vel cap qua fi ra ber sti pos gra lo que or hin mi lun es tu tem ne do plo ca ro ti la ri to na da mo nu be re li sa co".split()
-MADE_UP = re.compile(rf"(?:{'|'.join(SYLLABLES)})+")
 KEYS = re.compile(r"(?:x{3,}|asdf\w*|qwer\w*|test|foo|bar|baz|blah|bla|abc|\d+|z{3,}|\.{3,})", re.I)
 LINES = re.compile(r"[\r\n\x0b\x0c\x1c-\x1e\x85  ]+")
 SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 NAVIGATION = re.compile(r"(?:home|start|main|menu|startseite|accueil|inicio)\b.*[>»/|›].*|[^.!?|]{1,40}(?:\s[|»›>·]\s[^.!?|]{1,40}){1,12}|(?:home|contact|cart|login|sitemap|imprint|privacy|back|next|top)", re.I)
 COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright)\s.{0,80}|.{0,40}all rights reserved.{0,20}", re.I)
-ADDRESS = re.compile(r"\b(?:please|sorry|oops|reload|refresh|try again|webmaster|your browser|your request|sign in|log in|session|start page|javascript|cookies|scripts?)\b", re.I)
 #: Values that only catalog content states: numbers with a unit or a price.
 CATALOG = re.compile(r"\d\s?(?:mm|cm|m|in|inch|inches|ft|psi|bars?|kpa|mpa|kg|g|lbs?|oz|gpm|l|degrees|°|stück|pi[eè]ces|piezas|pieces|pcs)\b|\d\s?[\"°€%]|[$€£]\s?\d|\d+/\d+", re.I)
 HEADING_WORD = re.compile(r"[A-ZÀ-Þ0-9][\w'’&+./-]*$")
@@ -91,7 +92,7 @@ def clean(segment: str) -> str:
 
 
 def is_filler(words: list[str]) -> bool:
-    """Words of the usual filler text, made-up words or runs of keys."""
+    """Words of the usual filler text, runs of keys, or one phrase three times or more."""
     if not words:
         return False
     lorem = sum(w in LOREM for w in words)
@@ -100,8 +101,7 @@ def is_filler(words: list[str]) -> bool:
     keys = sum(KEYS.fullmatch(w) is not None for w in words)
     if keys == len(words) and any(not w.isdecimal() for w in words) and len(words) >= 2:
         return True
-    made = sum(MADE_UP.fullmatch(w) is not None for w in words)
-    return len(words) >= 5 and made >= 0.85 * len(words)
+    return any(n % p == 0 and words == words[:p] * (n // p) for n in [len(words)] for p in range(1, n // 3 + 1)) and len(words) >= 3
 
 
 def kind_of(segment: str, whole_line: bool) -> str:
@@ -142,70 +142,113 @@ def weak_names(text: str) -> set[str]:
     return {next(g for g in m.groups() if g).lower() for m in WEAK.finditer(text)} if any(c in text for c in "{}[]<>%@") else set()
 
 
-def page(text: str) -> tuple[bool, str]:
-    """(whole page is residue, its template if it is a page without clear content that speaks to a visitor)."""
-    residue = content = 0
-    template = []
-    for segment, whole in segments(text):
-        kind = kind_of(segment, whole)
-        residue += kind == "residue"
-        if kind == "content":
-            content += 1
-            if not ADDRESS.search(segment):
-                return False, ""
-        if kind != "beside":
-            template.append(re.sub(r"\b(?=\w*\d)[\w-]+\b", "#", clean(segment).lower()))
-    return residue > 0 and content == 0, " / ".join(template) if content else ""
+def page(text: str) -> tuple[bool, list[str]]:
+    """(whether the page has nothing but segments of known residue wording beside headings, navigation and copyright lines,
+    its segments beside these)."""
+    kinds = [(segment, kind_of(segment, whole)) for segment, whole in segments(text)]
+    content = [s for s, kind in kinds if kind != "beside"]
+    words = [w for s in content for w in re.findall(r"[^\W_]+", s.lower())]
+    return bool(content) and (all(kind != "content" for _, kind in kinds) or is_filler(words)), content
 
 
 def signs(docs: DataFrame) -> DataFrame:
-    """Of every document doc_id, strong ARRAY, weak ARRAY, whole BOOLEAN, template STRING, its segments and, if it states
-    no catalog values, the segments beside headings, the hash of these and of the text."""
+    """Of every document doc_id, the delimited names ``strong`` and ``weak``, whether its ``wording`` is known residue, the
+    templates of its segments (``parts``) and, if it states no catalog values, what stands beside headings, navigation and
+    copyright lines (``content``) and its template (``page``, a hash)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                whole, template = page(text)
+            for doc_id, text, catalog in zip(pdf["doc_id"], pdf["text"], pdf["catalog"]):
+                wording, content = page(text)
                 parts = {}
                 for segment, _ in segments(text):
                     form, empty = slots.template_of(segment)
                     if form:
                         parts.setdefault((form, tuple(empty)), {"template": form, "empty": empty})
-                content = [] if whole or CATALOG.search(text) else [slots.template_of(s)[0] for s, line in segments(text) if kind_of(s, line) == "content"]
-                out.append((doc_id, sorted(strong_names(text)), sorted(weak_names(text)), whole, template, content, text if content else "", list(parts.values())))
-            yield pd.DataFrame(out, columns=["doc_id", "strong", "weak", "whole", "template", "contents", "text", "parts"])
-
-    schema = "doc_id long, strong array<string>, weak array<string>, whole boolean, template string, contents array<string>, text string, parts array<struct<template: string, empty: array<int>>>"
-    found = docs.where("text is not null").select("doc_id", "text").mapInPandas(read, schema)
-    return found.withColumn("page", F.when(F.size("contents") > 0, F.xxhash64("contents"))).withColumn("text", F.xxhash64("text"))
-
-
-def page_templates(found: DataFrame, parts: DataFrame) -> DataFrame:
-    """doc_id of the pages whose template repeats with different slots and shares no segment with other pages."""
-    pages = found.where("page is not null and not whole")
-    varied = pages.groupBy("page").agg(F.count_distinct("text").alias("texts")).where(F.col("texts") >= LEAST_PAGE).select("page")
-    pages = pages.join(varied, "page").select("doc_id", "page", F.explode("contents").alias("template"))
-    theirs = pages.select("template", "page").distinct()
-    shared = parts.select("template", F.col("page").alias("other")).distinct().join(theirs, "template").where(~F.col("page").eqNullSafe(F.col("other"))).select("page").distinct()
-    return pages.join(shared, "page", "left_anti").select("doc_id").distinct()
+                kept = [] if catalog and not wording else content
+                out.append((doc_id, sorted(strong_names(text)), sorted(weak_names(text)), wording, "\n".join(kept), "\n".join(slots.template_of(s)[0] for s in kept), list(parts.values())))
+            yield pd.DataFrame(out, columns=["doc_id", "strong", "weak", "wording", "content", "page", "parts"], dtype=object)
+
+    schema = "doc_id long, strong array<string>, weak array<string>, wording boolean, content string, page string, parts array<struct<template: string, empty: array<int>>>"
+    found = docs.where("text is not null").select("doc_id", "text", F.col("text").rlike(CATALOG.pattern).alias("catalog")).mapInPandas(read, schema)
+    return found.withColumn("page", F.xxhash64("page"))
+
+
+def features(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with feature, is_word for each distinct word and pair of neighbouring words of ``text`` (hashes; numbers and
+    codes are ``#``)."""
+    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)")), lambda w: F.when(w.rlike(r"\p{N}"), "#").otherwise(w))
+    # the words are a column of their own, so that they are not made again for each pair
+    split = rows.withColumn("words", words)
+    pairs = F.zip_with(F.col("words"), F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))
+    hashes = lambda of, is_word: F.transform(F.array_distinct(of), lambda x: F.struct(F.xxhash64(x).alias("feature"), F.lit(is_word).alias("is_word")))
+    both = F.concat(hashes(F.filter("words", lambda w: w != "#"), True), hashes(F.filter(pairs, lambda p: p.isNotNull()), False))
+    return split.select(*[c for c in rows.columns if c != text], F.inline(both))
+
+
+def residue_pages(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, why of the pages that are residue as a whole: ``repeated``, ``foreign`` or ``model`` (the first that holds).
+
+    Pages without catalog values are candidates.  A word is foreign if hardly any page with catalog values has it.  Pages
+    of a template that repeats with different texts and has foreign words, pages of foreign words (error pages and
+    filler of any language), and pages of known wording are examples; a naive Bayes model of words and pairs of words,
+    fitted on them against all other pages and fitted again with what it found, decides the rest.
+    """
+    wanted = found.where("content <> ''").select(F.xxhash64("content").alias("text"), "content", "page", "wording")
+    one = durable(wanted.groupBy("text").agg(F.any_value("content").alias("content"), F.any_value("page").alias("page"), F.bool_or("wording").alias("wording")))
+    theirs = durable(features(one.select("text", "content"), "content"))
+    catalog = docs.where(F.col("text").rlike(CATALOG.pattern))
+    counted = features(catalog.select("text"), "text").groupBy("feature", "is_word").agg(F.count("*").alias("cat"))
+    counted = durable(counted)
+    pages = catalog.count()
+    seen = counted.where("is_word").agg((F.count_if(F.col("cat") == 1) / F.sum("cat")).alias("once"), F.count_if(F.col("cat") > 1).alias("shared")).first()
+    # the part of a catalog page's words that no other page has, by the words seen once
+    unseen = seen.once if seen.shared >= LEAST_WORDS else 1.0
+    theirs = durable(theirs.join(counted.select("feature", "cat"), "feature", "left").na.fill(0, ["cat"]))
+    rare = max(1, RARE * pages)
+    foreign = theirs.where("is_word").groupBy("text").agg(F.count("*").alias("words"), (F.count_if(F.col("cat") <= rare) / F.count("*")).alias("foreign"))
+    repeated = one.groupBy("page").agg(F.count("*").alias("texts"))
+    state = one.select("text", "page", "wording").join(repeated, "page").join(foreign, "text", "left").na.fill(0, ["words", "foreign"])
+    is_repeated = (F.col("texts") >= LEAST_PAGE) & (F.col("foreign") >= max(SOMEWHAT, 2 * unseen))
+    is_foreign = (F.col("words") >= 2) & (F.col("foreign") >= max(FOREIGN, 0.5 + unseen))
+    state = durable(state.select("text", "wording", F.when(is_repeated, "repeated").when(is_foreign, "foreign").alias("why")))
+    chosen = state.where("wording or why is not null").select("text")
+    others = state.count()
+    for _ in range(ROUNDS):
+        sure = durable(chosen.distinct().withColumn("sure", F.lit(True)))
+        n = sure.count()
+        marked = theirs.join(sure, "text", "left")
+        of = marked.groupBy("feature").agg(F.count_if("sure").alias("p"), (F.count_if(F.col("sure").isNull()) + F.max("cat")).alias("q")).where("p + q >= 2")
+        odds = F.log((F.col("p") + 0.1) / (n + 1.0)) - F.log((F.col("q") + 0.1) / (pages + others - n + 1.0))
+        scored = durable(theirs.join(of.select("feature", odds.alias("odds")), "feature").groupBy("text").agg(F.avg("odds").alias("score")))
+        chosen = state.where("wording or why is not null").select("text").unionByName(scored.where(F.col("score") >= SURE).select("text"))
+    last = state.join(scored, "text", "left").select("text", F.coalesce("why", F.when(F.col("score") >= DECIDED, "model")).alias("why")).where("why is not null")
+    return found.where("content <> ''").select("doc_id", F.xxhash64("content").alias("text")).join(last, "text").select("doc_id", "why")
+
+
+def reasons(docs: DataFrame) -> DataFrame:
+    """doc_id, why: every reason for which a document is residue.
+
+    ``slot``: an induced slot keeps a name, a default or nothing; ``name``: a name in delimiters that nothing else uses,
+    or an induced name in weaker ones; ``repeated``, ``foreign``, ``model``: see :func:`residue_pages`; ``wording``: all
+    its segments are of known wording.
+    """
+    found = durable(signs(docs))
+    parts = found.select("doc_id", F.inline("parts"))
+    names = found.select(F.explode("strong").alias("name")).groupBy("name").count().where(F.col("count") >= LEAST_NAME).select("name")
+    weak = found.select("doc_id", F.explode("weak").alias("name")).join(names, "name").select("doc_id")
+    named = found.where("size(strong) > 0").select("doc_id").unionByName(weak)
+    unfilled = slots.unfilled_documents(parts)
+    given = lambda df, why: df.select("doc_id", F.lit(why).alias("why"))
+    return given(unfilled, "slot").unionByName(given(named, "name")).unionByName(residue_pages(docs, found)).unionByName(given(found.where("wording"), "wording")).distinct()
 
 
 def residue(docs: DataFrame) -> DataFrame:
     """doc_id of the documents to exclude.
 
     Null, empty and blank texts are no cases; texts of any length are read whole; repeated ids give one row; further
-    columns don't matter; an empty table gives an empty result.
+    columns don't matter; an empty table gives an empty result.  In a table with few catalog pages nothing is foreign,
+    and only placeholders, unfilled slots and known wordings are found.
     """
-    from partmill.session import durable
-
-    found = durable(signs(docs))
-    parts = found.select("doc_id", "page", F.inline("parts"))
-    names = found.select(F.explode("strong").alias("name")).groupBy("name").count().where(F.col("count") >= LEAST_NAME).select("name")
-    certain = found.where("size(strong) > 0 or whole").select("doc_id")
-    weak = found.select("doc_id", F.explode("weak").alias("name")).join(names, "name").select("doc_id")
-    repeated = found.where("template <> ''").groupBy("template").count().where(F.col("count") >= LEAST_PAGE).select("template")
-    pages = found.where("template <> ''").join(repeated, "template").select("doc_id")
-    varied = page_templates(found, parts)
-    unfilled = slots.unfilled_documents(parts.select("doc_id", "template", "empty"))
-    return certain.unionByName(weak).unionByName(pages).unionByName(varied).unionByName(unfilled).distinct()
+    return reasons(docs).select("doc_id").distinct()

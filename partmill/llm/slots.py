@@ -1,8 +1,8 @@
 """Slots of segment templates, induced from all documents, and the documents whose slots were never filled.
 
 Segments with equal words before and after a gap share a template; what stands in the gap in the others are its fillers.
-A gap with different words or with numbers over several documents is a slot, and a segment that has a delimited or
-underscored name, a default or nothing there was left unfilled.
+A gap with different words, different delimited names, or with numbers over several documents is a slot, and a segment
+that has a delimited or underscored name, a default or nothing there was left unfilled.
 """
 
 from __future__ import annotations
@@ -10,12 +10,19 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NAME = r"[A-Za-z][\w]*(?:[._\-][A-Za-z]\w*)*"
+# Delimiters that nothing but a template uses, around a variable name.
+STRONG = (
+    rf"\{{\{{[\s#/&^>{{-]*(?P<a>{NAME})[^{{}}]*\}}\}}|\$\{{\s*(?P<b>{NAME})\s*\}}|#\{{\s*(?P<c>{NAME})\s*\}}|<%[=\-#]?\s*(?P<d>{NAME})[^%<>]*%>|\{{%-?\s*(?P<e>{NAME})[^%{{}}]*%\}}"
+    rf"|%%\s?(?P<f>{NAME})\s?%%|@@\s?(?P<g>{NAME})\s?@@|\[\[\s*(?P<h>{NAME})\s*\]\]|(?<![A-Za-z0-9_])__(?P<i>[A-Za-z][A-Za-z0-9_.]*?)__(?![A-Za-z0-9_])|\$(?P<j>{NAME})\$"
+    rf"|<your[ _-](?P<k>{NAME})>|\[your[ _-](?P<l>{NAME})\]|\[(?P<m>{NAME})(?: goes)? here\]|[<\[]insert[ _-](?P<n>{NAME})(?: here)?[>\]]|<(?P<o>{NAME})(?: goes) here>"
+)
 #: Different fillers, or documents with a number, that make a gap a slot.
 LEAST_FILLERS = 3
 #: Documents with a filler for each one with a default or nothing in the slot; what is more frequent was meant so.
@@ -25,27 +32,33 @@ LEAST_FIXED = 3
 #: Words of a filler.
 MOST_FILLER = 3
 PIECE = re.compile(
-    rf"(?P<mark>\[\s*{NAME}\s*\]|<\s*{NAME}\s*>|\{{\s*{NAME}\s*\}}|%{NAME}%|@{NAME}@)|(?P<default>#?\bn/a\b|\b(?:tbd|tbc|tba|todo|null|none|nan|undefined|default|x{{3,}})\b|\?{{2,}}|_{{2,}}|-{{2,}})"
+    rf"(?P<mark>{re.sub(r'[?]P<[a-o]>', '?:', STRONG)}|\[\s*{NAME}\s*\]|<\s*{NAME}\s*>|\{{\s*{NAME}\s*\}}|%{NAME}%|@{NAME}@)|(?P<default>#?\bn/a\b|\b(?:tbd|tbc|tba|todo|null|none|nan|undefined|default|x{{3,}})\b|\?{{2,}}|_{{2,}}|-{{2,}})"
     r"|(?P<number>(?:\w[\w-]*)?\d(?:[\w.,/-]*\w)?)|(?P<name>[^\W_]+(?:_[^\W_]+)+)|(?P<word>\w[\w'’-]*)|(?P<other>[^\w\s])",
     re.I,
 )
-FORM = "template string, empty array<int>"
 
 
 def template_of(segment: str) -> tuple[str, list[int]]:
-    """(its pieces in lower case with numbers as ``#``, the gaps between pieces in which a word seems to be missing)."""
+    """(its pieces in lower case with numbers as ``#`` and ``¤`` before delimited names, the gaps between pieces in which a word seems to be missing)."""
     pieces, empty, end = [], [], 0
     for m in PIECE.finditer(segment):
         between = segment[end : m.start()]
         if pieces and (len(between) > 1 or between and m[0] in ".,;)"):
             empty.append(len(pieces))
-        pieces.append("#" if m.lastgroup == "number" else re.sub(r"\s", "", m[0]).lower())
+        pieces.append("#" if m.lastgroup == "number" else ("¤" if m.lastgroup == "mark" else "") + re.sub(r"\s", "", m[0]).lower())
         end = m.end()
     return " ".join(pieces), empty
 
 
+@lru_cache(1 << 16)
+def kind_of_piece(piece: str) -> str:
+    return "number" if piece == "#" else "mark" if piece.startswith("¤") else PIECE.fullmatch(piece).lastgroup
+
+
 def keys(pieces: list[str]):
-    """(i, j) -> key of the gap from piece i up to j: the pieces before and after it."""
+    """(i, j) -> key of the gap from piece i up to j: the pieces before and after it.  Other slots of the template, numbers
+    and delimited names, are alike."""
+    pieces = ["#" if p.startswith("¤") else p for p in pieces]
     before, after = [0], [0]
     for p in pieces:
         before.append(zlib.crc32(f"{p} ".encode(), before[-1]))
@@ -58,7 +71,7 @@ def keys(pieces: list[str]):
 def gaps(template: str, widths: range) -> Iterator[tuple[int, int, list[str], int]]:
     """(i, j, kinds of the pieces in the gap, key) of the gaps that have enough of a template around them."""
     pieces = template.split(" ")
-    kinds = [PIECE.fullmatch(p).lastgroup if p != "#" else "number" for p in pieces]
+    kinds = [kind_of_piece(p) for p in pieces]
     words, n = sum(k == "word" for k in kinds), len(pieces)
     if words < LEAST_FIXED and ":" not in pieces:
         return
@@ -72,7 +85,8 @@ def gaps(template: str, widths: range) -> Iterator[tuple[int, int, list[str], in
 
 
 def fillers(numbers: bool):
-    """template, key, number, n: what forms have in their gaps; only gaps with a number if ``numbers``."""
+    """key, number, n, filler: what forms have in their gaps (words, numbers or a delimited name); only those with a number if
+    ``numbers``."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -80,41 +94,44 @@ def fillers(numbers: bool):
             for template, n in zip(pdf["template"], pdf["n"]):
                 if numbers and "#" not in template:
                     continue
+                pieces = template.split(" ")
                 for i, j, kinds, key in gaps(template, range(1, MOST_FILLER + 1)):
                     number = "number" in kinds
-                    if all(k in ("word", "number") for k in kinds) and (number or not numbers):
-                        out.append((key, number, n))
-            yield pd.DataFrame(out, columns=["key", "number", "n"])
+                    if all(k in ("word", "number") for k in kinds) and (number or not numbers) or kinds == ["mark"]:
+                        out.append((key, number, n, zlib.crc32(" ".join(pieces[i:j]).encode())))
+            yield pd.DataFrame(out, columns=["key", "number", "n", "filler"])
 
     return spread
 
 
 def unfilled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """template, empty, key, kind, n: gaps that hold a name, a default, or nothing where something seems to be missing."""
+    """form, key, kind, n: gaps that hold a name, a default, or nothing where something seems to be missing."""
     for pdf in batches:
         out = []
-        for template, empty, n in zip(pdf["template"], pdf["empty"], pdf["n"]):
-            at = set(empty)
+        for form, template, empty, n in zip(pdf["form"], pdf["template"], pdf["empty"], pdf["n"]):
+            at, last = set(empty), template.count(" ") + 1
             for i, j, kinds, key in gaps(template, range(0, 2)):
                 if i < j and kinds[0] in ("mark", "name", "default"):
-                    out.append((template, empty, key, kinds[0], n))
-                elif i == j and (i in at or (i == template.count(" ") + 1 and template.endswith(" :"))):
-                    out.append((template, empty, key, "nothing", n))
-        yield pd.DataFrame(out, columns=["template", "empty", "key", "kind", "n"])
+                    out.append((form, key, kinds[0], n))
+                elif i == j and (i in at or (i == last and template.endswith(" :"))):
+                    out.append((form, key, "nothing", n))
+        yield pd.DataFrame(out, columns=["form", "key", "kind", "n"])
 
 
 def without_number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The same for every gap with nothing in it: a number may be missing there.  Only within the template: at its ends
     a text cut off looks the same."""
     for pdf in batches:
-        out = [(template, empty, key, "nothing", n) for template, empty, n in zip(pdf["template"], pdf["empty"], pdf["n"]) for i, j, _, key in gaps(template, range(0, 1)) if 0 < i <= template.count(" ")]
-        yield pd.DataFrame(out, columns=["template", "empty", "key", "kind", "n"])
+        out = [(form, key, "nothing", n) for form, template, n in zip(pdf["form"], pdf["template"], pdf["n"]) for last in [template.count(" ")] for i, _, _, key in gaps(template, range(0, 1)) if 0 < i <= last]
+        yield pd.DataFrame(out, columns=["form", "key", "kind", "n"])
 
 
 def unfilled_documents(parts: DataFrame) -> DataFrame:
     """doc_id of the documents (doc_id, template, empty; a row for each segment) that have an unfilled slot."""
-    forms = parts.groupBy("template", "empty").agg(F.count("*").alias("n"))
-    filler, probe = "key long, number boolean, n long", f"{FORM}, key long, kind string, n long"
+    parts = parts.withColumn("form", F.xxhash64("template", "empty"))
+    # a form's hash stands for it: a long segment has many gaps
+    forms = parts.groupBy("form").agg(F.any_value("template").alias("template"), F.any_value("empty").alias("empty"), F.count("*").alias("n"))
+    filler, probe = "key long, number boolean, n long, filler long", "form long, key long, kind string, n long"
     filled = F.sum("n").alias("filled")
     numbers = forms.mapInPandas(fillers(True), filler).groupBy("key").agg(filled).where(F.col("filled") >= LEAST_FILLERS).select("key")
     probes = forms.mapInPandas(unfilled, probe).unionByName(forms.mapInPandas(without_number, probe).join(numbers, "key", "left_semi")).distinct()
@@ -123,8 +140,8 @@ def unfilled_documents(parts: DataFrame) -> DataFrame:
     probes = durable(probes)
     wanted = probes.select("key").distinct()
     found = forms.mapInPandas(fillers(False), filler).join(F.broadcast(wanted) if wanted.count() <= 100_000 else wanted, "key", "left_semi")
-    slots = found.groupBy("key").agg(filled, F.count("*").alias("fillers"), F.sum(F.when(F.col("number"), F.col("n")).otherwise(0)).alias("numbers"))
+    slots = found.groupBy("key").agg(filled, F.count_distinct("filler").alias("fillers"), F.sum(F.when(F.col("number"), F.col("n")).otherwise(0)).alias("numbers"))
     slots = slots.where((F.col("fillers") >= LEAST_FILLERS) | (F.col("numbers") >= LEAST_FILLERS))
     kept = probes.groupBy("key", "kind").agg(F.sum("n").alias("open")).join(slots, "key").where(F.col("kind").isin("mark", "name") | (F.col("filled") >= FILLED_EACH * F.col("open"))).select("key", "kind")
-    bad = probes.join(kept, ["key", "kind"]).select("template", "empty").distinct()
-    return parts.join(bad, ["template", "empty"]).select("doc_id")
+    bad = probes.join(kept, ["key", "kind"]).select("form").distinct()
+    return parts.join(bad, "form").select("doc_id")

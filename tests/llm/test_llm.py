@@ -300,7 +300,7 @@ def test_leakage_equals_brute_force(spark, most):
 
 RESIDUE = [
     "Torque the {{ unit }} to 5", "Buy ${company} now", "x <%= qty %>", "%%price%%", "@@part_no@@ x", "[[item.sku]]", "a __brand__ b", "$PART_NO$", "#{date}", "{% spec_table %}", "<your series>", "[price goes here]", "[INSERT brand]",
-    "Lorem ipsum dolor sit amet consectetur", "Vel capquafi raber stiposgra lopossti hin", "xxxx xxxx xxxx", "test test 1", "asdf asdf qwer", "Sample description. Sample description.", "Your headline here. Your text here.", "Description coming soon.", "Zelkova Elbow 90\nThis is a dummy product used for testing only",
+    "Lorem ipsum dolor sit amet consectetur", "xxxx xxxx xxxx", "test test 1", "asdf asdf qwer", "Sample description. Sample description.", "Your headline here. Your text here.", "Description coming soon.", "Zelkova Elbow 90\nThis is a dummy product used for testing only",
     "404 Not Found\nThe page /p/3 could not be located on this server.", "Home > Valves > Pipe\nTHE PART LIST TIMED OUT AFTER 30 SECONDS. PLEASE TRY AGAIN LATER.\n© 2012 Zelkova Supply", "Access denied. You do not have permission to view this catalog page.", "Traceback (most recent call last):\n  File \"/opt/feed/run.py\", line 3\nKeyError: 'sku'", "Fatal error: uncaught exception 'CatalogError' in /srv/shop/load.php:41\nStack trace:\n#0 {main}", "Seite nicht gefunden. Der Artikel ist nicht mehr verfügbar.",
     "Please enable JavaScript to view this page.", "To load prices you must disable your script blocker in your browser.", "Veuillez activer JavaScript pour afficher cette page.", "Valves | Tees | Contact | Cart\nLoading ... If nothing appears, allow scripts for this shop.", "Checking your browser before you continue ... this will take a few seconds.",
 ]
@@ -311,19 +311,37 @@ CONTENT = [
 ]
 
 
+BACKGROUND = 1_000_000
+
+
+def found_among_catalog(spark, texts):
+    """Of ``texts``, put among the test table's pages, those found."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select((F.col("doc_id") + BACKGROUND).alias("doc_id"), "text")
+    table = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string").unionByName(pages).withColumn("strong", F.lit(1)).withColumn("template", F.lit("x")).withColumn("why", F.lit("y"))
+    return [texts[i] for i in sorted(r.doc_id for r in residue.residue(table).collect()) if i < BACKGROUND]
+
+
+# residue without any word of a list, in languages that no other page has, and catalog text with residue's words
+FOREIGN = ["Ut wisi enim quam nunc mollis pharetra", "De pagina die u zoekt bestaat niet.", "Nie znaleziono strony.", "Страница не найдена", "Vel capquafi raber stiposgra lopossti hin", "Home > Valves\nCapquaposfi luncapneber figra vellunvelor do neesra fihinhin quera"]
+MENTIONS = ["Error: pressure relief required above 20 bar.", "Warning: do not exceed 300 psi on line 4.", "Please wait for the pressure to drop.", "Please order the union by its number."]
+
+
 def test_residue(spark):
-    texts = [*RESIDUE, *CONTENT, "a [brand] b", "a [drain] b", "Use {qty} of it", "{{ qty }} {{brand}}", "x {{brand}} ${qty} " + "y " * 100_000]
-    table = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string").withColumn("strong", F.lit(1)).withColumn("template", F.lit("x"))
-    found = sorted(r.doc_id for r in residue.residue(table).collect())
-    n = len(RESIDUE) + len(CONTENT)
-    assert [texts[i] for i in found] == [*RESIDUE, texts[n], *texts[n + 2 :]]
+    texts = [*RESIDUE, *FOREIGN, *CONTENT, *MENTIONS, "a [brand] b", "a [drain] b", "Use {qty} of it", "{{ qty }} {{brand}}", "x {{brand}} ${qty} " + "y " * 100_000]
+    n = len(RESIDUE) + len(FOREIGN) + len(CONTENT) + len(MENTIONS)
+    assert found_among_catalog(spark, texts) == [*RESIDUE, *FOREIGN, texts[n], *texts[n + 2 :]]
+
+
+def test_tables_with_nothing_to_learn_from(spark):
+    table = spark.createDataFrame([*enumerate([*RESIDUE, *CONTENT])], "doc_id long, text string")
+    assert [(RESIDUE + CONTENT)[i] for i in sorted(r.doc_id for r in residue.residue(table).collect())] == RESIDUE
     assert residue.residue(table.limit(0)).count() == 0
 
 
-def test_a_repeated_page_that_speaks_to_a_visitor(spark):
-    page = "Reload the list of Plovera {} please if your session ended"
-    table = spark.createDataFrame([(i, page.format(i)) for i in range(4)] + [(9, "Please order the Plovera union by its number")], "doc_id long, text string")
-    assert sorted(r.doc_id for r in residue.residue(table).collect()) == [0, 1, 2, 3]
+def test_repeated_pages_without_known_wording(spark):
+    errors = [f"ZQX-{i}: cannot open cursor for query" for i in range(4)] + [f"Kindly revisit the vendor {i} portal tomorrow" for i in range(5)]
+    catalog = [f"Order code GO{i} from the list" for i in range(4)] + ["Order code GO9 from the list\nKeep the union dry in storage."] + ["Each gate valve is tested with air under water"] * 4
+    assert found_among_catalog(spark, [*errors, *catalog]) == errors
 
 
 def test_slots_of_templates(spark):
@@ -333,10 +351,3 @@ def test_slots_of_templates(spark):
     kept = ["Rated for 70 psi when used with lead pipe.", "Other heading:", "Fit the [drain] pipe to the wall."]
     table = spark.createDataFrame([*enumerate([*texts, *left, *kept])], "doc_id long, text string")
     assert sorted(r.doc_id for r in residue.residue(table).collect()) == [40, 41, 42, 43, 44]
-
-
-def test_a_repeated_error_page_without_known_wording(spark):
-    pages = [f"ZQX-{i}: cannot open cursor for query" for i in range(4)]
-    catalog = [f"Order code GO{i} from the list" for i in range(4)] + ["Order code GO9 from the list\nKeep the union dry in storage."] + ["A copied page keeps its sentence"] * 4
-    table = spark.createDataFrame([*enumerate([*pages, *catalog])], "doc_id long, text string")
-    assert sorted(r.doc_id for r in residue.residue(table).collect()) == [0, 1, 2, 3]
