@@ -67,6 +67,10 @@ def known_units() -> dict[str, tuple[str, Fraction, Fraction]]:
     return out
 
 
+# One spelling of each unit, from which the graph of sources gives the others their conversion.
+SYMBOLS = "mm cm m in ft psi bar mbar kpa mpa pa mg g kg lb oz gpm gph l/min l/h l/s m3/h ml/min °c °f k".split()
+
+
 def base_value(number: Fraction, scale: Fraction, offset: Fraction) -> int:
     """The number in the common unit, rounded half up (away from zero)."""
     exact = number * scale + offset

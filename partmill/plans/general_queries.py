@@ -24,11 +24,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     raw, details = table(spark, sf_dir, "raw_parts"), table(spark, sf_dir, "product_details")
-    texts = raw.select(F.concat(F.lit("r"), F.col("raw_id").cast("string")).alias("entity"), F.col("description").alias("text")).unionByName(
-        details.select(F.concat(F.lit("d"), F.col("row_id").cast("string")).alias("entity"), F.col("value_display").alias("text"))
-    )
-    known = units.learned_units(texts)
-    return units.raw_quantities(raw, known).unionByName(units.detail_quantities(details, table(spark, sf_dir, "attribute_defs"), known))
+    defs = table(spark, sf_dir, "attribute_defs")
+    known = units.learned_units(units.measured_texts(raw, details, defs))
+    return units.raw_quantities(raw, known).unionByName(units.detail_quantities(details, defs, known))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Wide tables, quantities, nested payloads and snapshots: plain versions on small tables, and odd cases."""
 
 import datetime
+import random
 from fractions import Fraction
 
 import pytest
-from partmill.functions.quantities import Reader, base_value, known_units
+from partmill.functions.quantities import SYMBOLS, Reader, base_value, known_units
 from partmill.operators import nested, snapshots, units, wide
 from pyspark.sql import functions as F
 
@@ -113,13 +114,39 @@ def test_sources_are_linked_and_snapped(spark):
     known = {k: v for k, v in known_units().items() if k in ("mm", "in", "ft", "°c", "°f", "k")}
     found = units.source_conversions(spark.createDataFrame(rows, "entity string, source string, value double"), known)
     assert found["zoll"] == known["in"] and found["grad f"] == known["°f"] and found["spanne"] == known["ft"]
-    texts = spark.createDataFrame([(str(i), f"bore {i} zoll ({25.4 * i:.2f} mm)") for i in range(1, 9)], "entity string, text string")
+    texts = spark.createDataFrame([(str(i), f"bore {i} zoll ({25.4 * i:.2f} mm)") for i in range(1, 9)], "entity string, text string").withColumn("context", F.lit(None).cast("string"))
     learned = units.learned_units(texts)
     assert learned["zoll"] == known["in"]
     assert list(Reader(learned).read("2 zoll long")) == [("length", 50800000)]
     assert units.source_conversions(spark.createDataFrame([], "entity string, source string, value double"), known) == known
 
 
+def test_populations_link_sources(spark):
+    rng = random.Random(4)
+    rows = [("p", u, v / k) for _ in range(400) for v in [rng.lognormvariate(6, 1)] for u, k in [rng.choice([("kpa", 1), ("psi", 6.894757), ("pfund", 6.894757), ("atue", 100)])]]
+    rows += [("t", u, (v - o) / k) for _ in range(600) for v in [rng.gauss(60, 80)] for u, k, o in [rng.choice([("°c", 1, 0), ("gradf", 5 / 9, -160 / 9), ("celsiusgrad", 1, 0)])]]
+    rows += [("q", "atue", v) for v in range(100)] + [("q", "schock", v * 60.0) for v in range(100)] + [("p", "selten", 5.0)] * 10
+    known, values = known_units(), spark.createDataFrame(rows, "context string, source string, value double")
+    found = units.population_conversions(values, {u: known[u] for u in ("kpa", "psi", "°c")}, sorted(set(known.values())))
+    assert found["pfund"] == known["psi"] and found["atue"] == known["bar"] and found["gradf"] == known["°f"] and found["celsiusgrad"] == known["°c"]
+    assert "selten" not in found
+    assert units.population_conversions(values.limit(0), {}, []) == {}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_held_out_spellings_come_from_the_graph(spark, seed):
+    table = lambda n: spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet")
+    raw, details, defs = table("raw_parts"), table("product_details"), table("attribute_defs")
+    rng, known = random.Random(seed), known_units()
+    half = {s: v for s, v in known.items() if s in SYMBOLS or rng.random() < 0.5}
+    read = lambda u: units.raw_quantities(raw, u).unionByName(units.detail_quantities(details, defs, u)).distinct()
+    learned = units.learned_units(units.measured_texts(raw, details, defs), half)
+    true, found = read(known), read(learned)
+    both = true.intersect(found).count()
+    assert both >= 0.98 * true.count() and both >= 0.98 * found.count() and read(half).intersect(true).count() < 0.9 * true.count()
+    assert all(known[s] == v for s, v in learned.items() if s in known)
+
+
 def test_payload_nodes(spark, rows):
     bodies = [
         (1, "categories", '{"categories": [{"shortDescription": "A", "subCategories": {"shortDescription": "B", "subCategories": [null, {"id": 1}]}}, 5]}'),
