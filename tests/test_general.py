@@ -123,8 +123,8 @@ def test_sources_are_linked_and_snapped(spark):
 
 def test_populations_link_sources(spark):
     rng = random.Random(4)
-    rows = [("p", u, v / k) for _ in range(400) for v in [rng.lognormvariate(6, 1)] for u, k in [rng.choice([("kpa", 1), ("psi", 6.894757), ("pfund", 6.894757), ("atue", 100)])]]
-    rows += [("t", u, (v - o) / k) for _ in range(600) for v in [rng.gauss(60, 80)] for u, k, o in [rng.choice([("°c", 1, 0), ("gradf", 5 / 9, -160 / 9), ("celsiusgrad", 1, 0)])]]
+    rows = [("p", u, v / k) for _ in range(4000) for v in [rng.lognormvariate(6, 1)] for u, k in [rng.choice([("kpa", 1), ("psi", 6.894757), ("pfund", 6.894757), ("atue", 100)])]]
+    rows += [("t", u, (v - o) / k) for _ in range(3000) for v in [rng.gauss(60, 80)] for u, k, o in [rng.choice([("°c", 1, 0), ("gradf", 5 / 9, -160 / 9), ("celsiusgrad", 1, 0)])]]
     rows += [("q", "atue", float(v)) for v in range(100)] + [("q", "schock", v * 60.0) for v in range(100)] + [("p", "selten", 5.0)] * 10
     known, values = known_units(), spark.createDataFrame(rows, "context string, source string, value double")
     found = units.population_conversions(values, {u: known[u] for u in ("kpa", "psi", "°c")}, sorted(set(known.values())))
