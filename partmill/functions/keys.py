@@ -13,6 +13,11 @@ def normalize_key(col: Column) -> Column:
     return F.regexp_replace(F.upper(blank(col)), "[^A-Z0-9]", "")
 
 
+def plain_key(text: str | None) -> str:
+    """:func:`normalize_key` of one text."""
+    return "".join(c for c in (text or "").upper() if c.isascii() and c.isalnum())
+
+
 def domain_key(col: Column) -> Column:
     """A host as part of a file name: lower case, one leading ``www.`` dropped, odd characters as ``_``."""
     return F.regexp_replace(F.regexp_replace(F.lower(blank(col)), r"^www\.", ""), "[^a-z0-9.-]", "_")

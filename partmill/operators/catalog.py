@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from partmill.functions.text import blank, squash
+from partmill.operators.match import keep_first
 from partmill.session import durable
 
 
@@ -34,22 +35,25 @@ def section_for_page(pages: DataFrame, sections: DataFrame, most: int = 10_000)
     return hit.groupBy("page_no").agg(F.min_by(F.struct("name", "category"), "ord").alias("s")).select("page_no", "s.name", "s.category")
 
 
-def exploded_parts(results: DataFrame) -> DataFrame:
-    """page_no, idx, subcategory, part_no, series, description: one row for each part of the pages that aren't skipped."""
-    return results.where("not skipped").select("page_no", "subcategory", F.posexplode("parts").alias("idx", "p")).select("page_no", "idx", "subcategory", "p.*")
+def on_page(part_no: Column, squashed: Column) -> Column:
+    """Whether the part number, without white space, stands in the page, without white space (``""`` always does)."""
+    return F.contains(squashed, squash(part_no))
 
 
-def on_page(part_no: Column, text: Column) -> Column:
-    """Whether the part number, without white space, stands in the page, without white space (``""`` always does)."""
-    return F.contains(squash(text), squash(part_no))
+def checked_parts(results: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_no, idx, subcategory, part_no, series, description, is_on_page of the parts of pages that aren't skipped.
+
+    results: page_no, subcategory, skipped, parts (array of idx, part_no, series, description); pages: page_no, text.  The
+    parts are checked within their page's row, so a page's text is joined once and never copied to its parts.
+    """
+    joined = results.where("not skipped").select("page_no", "subcategory", "parts").join(pages.select("page_no", squash(F.col("text")).alias("squashed")), "page_no", "left")
+    marked = F.transform("parts", lambda p: F.struct(p["idx"].alias("idx"), p["part_no"].alias("part_no"), p["series"].alias("series"), p["description"].alias("description"), F.coalesce(on_page(p["part_no"], F.col("squashed")), F.lit(False)).alias("is_on_page")))
+    return joined.select("page_no", "subcategory", F.inline(marked)).select("page_no", "idx", "subcategory", "part_no", "series", "description", "is_on_page")
 
 
-def checked_parts(parts: DataFrame, pages: DataFrame) -> DataFrame:
-    """The parts with ``is_on_page`` and ``occurrence`` (1 for the first of its number among those on their page)."""
-    joined = parts.join(pages.select("page_no", "text"), "page_no", "left")
-    marked = joined.select(*parts.columns, F.coalesce(on_page(F.col("part_no"), F.col("text")), F.lit(False)).alias("is_on_page"))
-    first = Window.partitionBy("is_on_page", "part_no").orderBy("page_no", "idx")
-    return marked.withColumn("occurrence", F.row_number().over(first))
+def first_parts(checked: DataFrame) -> DataFrame:
+    """The first part of each number among those on their page (a partial aggregate, so a hot number is no hot task)."""
+    return keep_first(checked.where("is_on_page").drop("is_on_page"), ["part_no"], ["page_no", "idx"])
 
 
 def numbered(rows: DataFrame, page: str = "page_no", idx: str = "idx") -> DataFrame:
@@ -68,30 +72,31 @@ def numbered(rows: DataFrame, page: str = "page_no", idx: str = "idx") -> DataFr
     return marked.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("sequence", (F.col("offset") + inside + 1).cast("bigint")).drop("part", "mark", "offset")
 
 
-def validate_catalog(parts: DataFrame, pages: DataFrame, sections: DataFrame) -> DataFrame:
+def validate_catalog(results: DataFrame, pages: DataFrame, sections: DataFrame) -> DataFrame:
     """sequence, part_no, category, subcategory, series, description: parts on their page, first of each number."""
-    kept = checked_parts(parts, pages).where("is_on_page and occurrence = 1")
+    kept = first_parts(checked_parts(results, pages))
     placed = numbered(kept).join(section_for_page(pages, sections), "page_no", "left")
     return placed.select("sequence", "page_no", "part_no", blank(F.col("category")).alias("category"), "subcategory", "series", "description")
 
 
-def validation_report(parts: DataFrame, pages: DataFrame, skipped_pages: int = 0) -> DataFrame:
+def validation_report(results: DataFrame, pages: DataFrame) -> DataFrame:
     """One row: total_parts, pages_processed, pages_skipped, dropped, duplicates (counts).
 
     The lists behind the counts are tables: see :func:`dropped_parts` and :func:`duplicate_parts`.
     """
-    counts = checked_parts(parts, pages).agg(
-        F.count_if(F.expr("is_on_page and occurrence = 1")).alias("total_parts"),
-        F.count_if(~F.col("is_on_page")).alias("dropped"),
-        F.count_if(F.expr("is_on_page and occurrence > 1")).alias("duplicates"),
-    )
-    return counts.crossJoin(pages.agg((F.count("*") - skipped_pages).alias("pages_processed"))).withColumn("pages_skipped", F.lit(skipped_pages).cast("bigint"))
+    numbers = checked_parts(results, pages).groupBy("part_no").agg(F.count_if("is_on_page").alias("held"), F.count_if(~F.col("is_on_page")).alias("missed"))
+    some = F.coalesce(F.sum("held"), F.lit(0))
+    total = F.count_if(F.col("held") > 0)
+    counts = numbers.agg(total.alias("total_parts"), F.coalesce(F.sum("missed"), F.lit(0)).alias("dropped"), (some - total).alias("duplicates"))
+    routes = results.agg(F.count_if(~F.col("skipped")).alias("pages_processed"), F.count_if("skipped").alias("pages_skipped"))
+    return counts.crossJoin(routes)  # one row each
 
 
-def dropped_parts(parts: DataFrame, pages: DataFrame) -> DataFrame:
-    return checked_parts(parts, pages).where("not is_on_page").select("page_no", "idx", "part_no")
+def dropped_parts(results: DataFrame, pages: DataFrame) -> DataFrame:
+    return checked_parts(results, pages).where("not is_on_page").select("page_no", "idx", "part_no")
 
 
-def duplicate_parts(parts: DataFrame, pages: DataFrame) -> DataFrame:
+def duplicate_parts(results: DataFrame, pages: DataFrame) -> DataFrame:
     """One row for each repeated occurrence."""
-    return checked_parts(parts, pages).where("is_on_page and occurrence > 1").select("page_no", "idx", "part_no")
+    checked = checked_parts(results, pages)
+    return checked.where("is_on_page").join(first_parts(checked).select("page_no", "idx"), ["page_no", "idx"], "left_anti").select("page_no", "idx", "part_no")

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from partmill.functions.keys import normalize_key
 from partmill.functions.text import blank
 
-COLLISION = "matches several part numbers"
+#: Behind the number of candidates in the note of a collision.
+COLLISION = "different source part numbers normalize to the same value"
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -20,10 +21,14 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, "first.*").select(*rows.columns)
 
 
-def candidates(parts: DataFrame) -> DataFrame:
-    """norm_key, n, part_nos: the distinct part numbers of each normalised key in first-seen order (part_no, pos)."""
-    first = parts.select(blank(F.col("part_no")).alias("part_no"), "pos").groupBy("part_no").agg(F.min("pos").alias("pos"))
-    grouped = first.groupBy(normalize_key(F.col("part_no")).alias("norm_key")).agg(F.array_sort(F.collect_list(F.struct("pos", "part_no"))).alias("c"))
+def candidates(parts: DataFrame, keys: DataFrame) -> DataFrame:
+    """norm_key, n, part_nos: the distinct part numbers of each wanted normalised key (norm_key) in first-seen order.
+
+    Only keys that an entry asks for are listed, and the list is what the report's row holds.
+    """
+    first = parts.select(blank(F.col("part_no")).alias("part_no"), "pos").groupBy("part_no").agg(F.min("pos").alias("pos")).withColumn("norm_key", normalize_key(F.col("part_no")))
+    wanted = first.join(keys.select("norm_key").distinct(), "norm_key", "left_semi")
+    grouped = wanted.groupBy("norm_key").agg(F.array_sort(F.collect_list(F.struct("pos", "part_no"))).alias("c"))
     return grouped.select("norm_key", F.size("c").alias("n"), F.transform("c", lambda x: x["part_no"]).alias("part_nos"))
 
 
@@ -35,11 +40,17 @@ def match_report(entries: DataFrame, parts: DataFrame) -> DataFrame:
     """
     texts = entries.select(blank(F.col("raw")).alias("raw")).distinct().withColumn("norm_key", normalize_key(F.col("raw")))
     exact = parts.select(blank(F.col("part_no")).alias("raw")).distinct().withColumn("is_exact", F.lit(True))
-    joined = texts.join(exact, "raw", "left").join(candidates(parts), "norm_key", "left")
+    marked = texts.join(exact, "raw", "left")
+    joined = marked.join(candidates(parts, marked.where("is_exact is null")), "norm_key", "left")
     kind = F.when(F.col("is_exact"), "exact").when(F.col("n") == 1, "normalized").when(F.col("n") > 1, "collision").otherwise("unmatched")
     result = joined.select("raw", kind.alias("match_type"), F.when(F.col("is_exact"), F.array("raw")).otherwise(F.coalesce("part_nos", F.array().cast("array<string>"))).alias("matched_part_nos"))
     out = entries.select("entry_id", blank(F.col("raw")).alias("raw")).join(result, "raw")
-    return out.select("entry_id", F.col("raw").alias("filter_raw"), "match_type", "matched_part_nos", F.when(F.col("match_type") == "collision", COLLISION).otherwise("").alias("note"))
+    return out.select("entry_id", F.col("raw").alias("filter_raw"), "match_type", "matched_part_nos", F.when(F.col("match_type") == "collision", F.concat_ws(" ", F.size("matched_part_nos").cast("string"), F.lit(COLLISION))).otherwise("").alias("note"))
+
+
+def summary(report: DataFrame) -> DataFrame:
+    """match_type, n: how many entries were matched in each way."""
+    return report.groupBy("match_type").agg(F.count("*").alias("n"))
 
 
 def matched_parts(parts: DataFrame, report: DataFrame) -> DataFrame:

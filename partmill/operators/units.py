@@ -43,7 +43,7 @@ def linked_pairs(measures: DataFrame, least: int = 3) -> DataFrame:
     on an offset; the offset is the rest at the median; where b is proportional to a, the median of the ratios is used.
     ``spread`` is the median deviation from the fit as a part of the median value.
     """
-    one = measures.where("value is not null").groupBy("entity", "source").agg(F.percentile_approx("value", 0.5).alias("value"))
+    one = durable(measures.where("value is not null").groupBy("entity", "source").agg(F.percentile_approx("value", 0.5).alias("value")))
     a, b = one.select("entity", F.col("source").alias("source_a"), F.col("value").alias("a")), one.select("entity", F.col("source").alias("source_b"), F.col("value").alias("b"))
     pairs = a.join(b, "entity").where("source_a < source_b")
     ratio = F.when(F.col("a") != 0, F.col("b") / F.col("a"))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +17,7 @@ from partmill.operators import catalog, match, merge, pages
 from partmill.sources import enumerate as site_urls
 from partmill.sources import html, product_api, store, xlsx
 from partmill.streaming import incremental
-from partmill.session import configure
+from partmill.session import configure, ensure_checkpoint_dir
 
 QUERIES, ORACLE = {}, {}
 
@@ -60,9 +66,17 @@ def digital_documents(spark, sf_dir):
     return keys.is_digital(table(spark, sf_dir, "documents").select(blank(F.col("source")).alias("doc"), "page_no", "text"))
 
 
-@query(r"SELECT doc_id FROM documents WHERE page_no <= 15 AND (regexp_matches(coalesce(text, ''), '(?i)table of contents') OR len(regexp_extract_all(coalesce(text, ''), '(?m)\.{5,}\s*\d+\s*$')) >= 10)")
+def with_contents_lines(spark, sf_dir):
+    """Pages with a table of contents before their text, by kind of their id: a title, ten or nine lines with dots, none."""
+    lines = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("Chapter "), F.lit("."), F.repeat(F.lit("."), 6), F.lit(" "), i.cast("string"))), "\n")
+    kind = F.col("doc_id") % 4
+    added = F.when(kind == 0, F.lit("Table of\tContents\nTABLE OF CONTENTS")).when(kind == 1, lines(10)).when(kind == 2, lines(9)).otherwise(F.lit("contents"))
+    return table(spark, sf_dir, "documents").select("doc_id", "page_no", F.concat(added, F.lit("\n"), blank(F.col("text"))).alias("text"))
+
+
+@query("SELECT doc_id FROM documents WHERE page_no <= 15 AND doc_id % 4 IN (0, 1)")
 def contents_pages(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(keys.is_contents_page(F.col("text"), F.col("page_no"))).select("doc_id")
+    return with_contents_lines(spark, sf_dir).where(keys.is_contents_page(F.col("text"), F.col("page_no"))).select("doc_id")
 
 
 @query(rf"SELECT doc_id, coalesce(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x{{0b}}\x{{0c}}\x{{1c}}-\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '^{SPACE}+|{SPACE}+$', '', 'g')), lambda x: x <> '')[1], '') AS title FROM documents")
@@ -110,7 +124,7 @@ def reported(spark, sf_dir):
     return match.match_report(table(spark, sf_dir, "filter_entries"), reference_catalog(spark, sf_dir))
 
 
-@query(f"WITH {REPORT_SQL} SELECT entry_id, filter_raw, match_type, array_to_string(nos, ', ') AS matched_part_nos, CASE match_type WHEN 'collision' THEN '{match.COLLISION}' ELSE '' END AS note FROM report")
+@query(f"WITH {REPORT_SQL} SELECT entry_id, filter_raw, match_type, array_to_string(nos, ', ') AS matched_part_nos, CASE match_type WHEN 'collision' THEN len(nos) || ' {match.COLLISION}' ELSE '' END AS note FROM report")
 def match_report(spark, sf_dir):
     return reported(spark, sf_dir).withColumn("matched_part_nos", F.array_join("matched_part_nos", ", "))
 
@@ -122,19 +136,27 @@ def matched_parts(spark, sf_dir):
 
 @query(f"WITH {REPORT_SQL} SELECT match_type, count(*) AS n FROM report GROUP BY 1")
 def match_type_summary(spark, sf_dir):
-    return reported(spark, sf_dir).groupBy("match_type").agg(F.count("*").alias("n"))
+    return match.summary(reported(spark, sf_dir))
 
 
-@query(f"SELECT e.entry_id, r.part_no, min(r.pos) AS pos FROM filter_entries e JOIN part_records r ON {NORMAL.format('e.raw')} = {NORMAL.format('r.part_no')} GROUP BY 1, 2")
+@query(f"SELECT e.entry_id, r.ref_no AS part_no, min(r.n) AS pos FROM filter_entries e JOIN (SELECT ref_no, 0 AS n FROM ref_parts UNION ALL SELECT lower(ref_no), 1 FROM ref_parts UNION ALL SELECT ref_no, 2 FROM ref_parts) r ON {NORMAL.format('e.raw')} = {NORMAL.format('r.ref_no')} GROUP BY 1, 2")
 def search_lookup(spark, sf_dir):
-    return match.lookup(table(spark, sf_dir, "filter_entries"), table(spark, sf_dir, "part_records").select("part_no", "pos")).select("entry_id", "part_no", "pos")
+    listed = table(spark, sf_dir, "ref_parts").select(F.col("ref_no").alias("part_no"))
+    answers = listed.withColumn("pos", F.lit(0)).unionByName(listed.select(F.lower("part_no").alias("part_no"), F.lit(1).alias("pos"))).unionByName(listed.withColumn("pos", F.lit(2)))
+    return match.lookup(table(spark, sf_dir, "filter_entries"), answers).select("entry_id", "part_no", "pos")
+
 
+COVERED_SQL = f"SELECT {{0}} AS entries, NOT EXISTS (SELECT 1 FROM filter_entries e WHERE {{1}} AND {NORMAL.format('e.raw')} NOT IN (SELECT {NORMAL.format('ref_no')} FROM ref_parts)) AS covered"
+LISTED_SQL = f"{NORMAL.format('e.raw')} IN (SELECT {NORMAL.format('ref_no')} FROM ref_parts)"
 
-@query(f"SELECT count(*) AS missing FROM (SELECT DISTINCT {NORMAL.format('raw')} AS k FROM filter_entries WHERE {NORMAL.format('raw')} NOT IN (SELECT {NORMAL.format('ref_no')} FROM ref_parts))")
+
+@query(COVERED_SQL.format("'all'", "true") + " UNION ALL " + COVERED_SQL.format("'listed'", LISTED_SQL))
 def early_stop_coverage(spark, sf_dir):
-    wanted = table(spark, sf_dir, "filter_entries").select(keys.normalize_key(F.col("raw")).alias("k")).distinct()
+    """Whether the list covers all entries, and those that it lists."""
+    wanted = table(spark, sf_dir, "filter_entries").select(keys.normalize_key(F.col("raw")).alias("k"))
     found = table(spark, sf_dir, "ref_parts").select(keys.normalize_key(F.col("ref_no")).alias("k"))
-    return wanted.join(found, "k", "left_anti").agg(F.count("*").alias("missing"))
+    rows = [("all", match.is_covered(wanted, found, "k")), ("listed", match.is_covered(wanted.join(found, "k", "left_semi"), found, "k"))]
+    return spark.createDataFrame(rows, "entries string, covered boolean")
 
 
 # ---- catalog pages ----------------------------------------------------------------------------------------------
@@ -158,26 +180,66 @@ def catalog_pages(spark, sf_dir):
 
 @query(f"SELECT (p_partkey // {PER_PAGE} + 1)::INT AS page_no, (p_partkey % {PER_PAGE})::INT AS idx, p_brand || '-' || p_partkey AS part_no, 'CATALOG PARTS' AS series, 'Type: ' || p_type || ', Size: ' || p_size AS description FROM part")
 def parse_tables_roundtrip(spark, sf_dir):
-    return pages.parse_pages(catalog_pages(spark, sf_dir)).select("page_no", F.posexplode("parts").alias("idx", "p")).select("page_no", "idx", "p.*")
+    return pages.parse_pages(catalog_pages(spark, sf_dir)).select("page_no", F.inline("parts"))
 
 
-def document_pages(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), "page_no", "text")
+LAYOUTS = 6
 
 
-@query()
+def layout_pages(spark, sf_dir):
+    """Pages made of ``part`` in six layouts by page number: labels on both sides, a description with a quantity, two parts
+    in a line, a header without labels, rows with torn or missing numbers, and text without a table."""
+    parts = catalog_parts(spark, sf_dir)
+    size, kind = F.col("p_size").cast("string"), F.col("page_no") % LAYOUTS
+    line = (
+        F.when(kind == 0, F.concat_ws(" ", size, "part_no", "p_type"))
+        .when(kind == 1, F.concat_ws(" ", "part_no", F.lit("new model of"), "p_type", size))
+        .when(kind == 2, F.concat_ws(" ", "part_no", size, F.concat(F.lit("M-"), "part_no"), F.lit("x")))
+        .when(kind == 3, F.col("part_no"))
+        .when(kind == 4, F.when(F.col("idx") % 2 == 0, F.concat_ws(" ", F.lit("AB-"), size)).otherwise(F.concat_ws(" ", "p_type", size)))
+        .otherwise(F.concat_ws(" ", F.lit("some plain words about parts of type"), "p_type"))
+    )
+    header = F.element_at(F.array(*[F.lit(t) for t in ("FITTINGS\nOF STEEL\nSize  PART No.  Type", "KITS\nPart No.\tDescription\tQty", "PAIRS\nPART No.  Size  PART No.  Size", "LIST\nPART No.", "ODD\nPART No.  Size", "TEXT")]), kind + 1)
+    grouped = parts.select("page_no", "idx", kind.alias("kind"), header.alias("header"), line.alias("line")).groupBy("page_no", "kind", "header").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    return grouped.select(F.lit("layouts").alias("doc"), "page_no", F.concat_ws("\n", "header", "lines").alias("text"))
+
+
+LAYOUT_SQL = f"""
+p AS (SELECT (p_partkey // {PER_PAGE} + 1)::INT AS page_no, (p_partkey % {PER_PAGE})::INT AS i, p_brand || '-' || p_partkey AS part_no, p_type, p_size FROM part),
+k AS (SELECT *, page_no % {LAYOUTS} AS kind, row_number() OVER (PARTITION BY page_no ORDER BY i)::INT - 1 AS n FROM p)"""
+
+
+@query(f"""WITH {LAYOUT_SQL}
+SELECT page_no, n AS idx, part_no, 'FITTINGS OF STEEL' AS series, 'Size: ' || p_size || ', Type: ' || p_type AS description FROM k WHERE kind = 0
+UNION ALL SELECT page_no, n, part_no, 'KITS', 'new model of ' || p_type || ', Qty: ' || p_size FROM k WHERE kind = 1
+UNION ALL SELECT page_no, 2 * n, part_no, 'PAIRS', 'Size: ' || p_size FROM k WHERE kind = 2
+UNION ALL SELECT page_no, 2 * n + 1, 'M-' || part_no, 'PAIRS', 'Size: x' FROM k WHERE kind = 2""")
 def parse_page_rows(spark, sf_dir):
-    return pages.parse_pages(document_pages(spark, sf_dir)).select("doc", F.posexplode("parts").alias("idx", "p")).select("doc", "idx", "p.*")
+    return pages.parse_pages(layout_pages(spark, sf_dir)).select("page_no", F.inline("parts"))
 
 
-@query()
+REASONS_SQL = f"""WITH {LAYOUT_SQL}, w AS (SELECT page_no, kind, count(*) AS lines, bool_or(i % 2 = 0) AS torn FROM k GROUP BY 1, 2),
+reasons AS (SELECT page_no, '{pages.NOTHING}' AS reason FROM w WHERE kind = 3 AND 3 + lines >= 40 OR kind = 4 AND 4 + 2 * lines >= 40 OR kind = 5 AND 1 + 8 * lines >= 40
+UNION ALL SELECT page_no, '{pages.SPACED}' FROM w WHERE kind = 4 AND torn UNION ALL SELECT page_no, '{pages.ODD}' FROM w WHERE kind = 4)"""
+
+
+@query(REASONS_SQL + " SELECT page_no, reason FROM reasons")
 def parse_page_reasons(spark, sf_dir):
-    return pages.parse_pages(document_pages(spark, sf_dir)).select("doc", F.explode("reasons").alias("reason"))
+    return pages.parse_pages(layout_pages(spark, sf_dir)).select("page_no", F.explode("reasons").alias("reason"))
 
 
-@query()
+@query(REASONS_SQL + " SELECT CASE WHEN page_no IN (SELECT page_no FROM reasons) THEN 'fallback' ELSE 'deterministic' END AS route, page_no IN (SELECT page_no FROM reasons) OR kind IN (3, 4, 5) AS skipped, count(*) AS n FROM w GROUP BY 1, 2")
 def page_routing_counts(spark, sf_dir):
-    return pages.page_results(document_pages(spark, sf_dir)).groupBy("route").agg(F.count("*").alias("n"))
+    return pages.page_results(layout_pages(spark, sf_dir)).groupBy("route", "skipped").agg(F.count("*").alias("n"))
+
+
+def document_pages(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), "page_no", "text")
+
+
+@query()
+def parse_document_rows(spark, sf_dir):
+    return pages.parse_pages(document_pages(spark, sf_dir)).select("doc", F.inline("parts"))
 
 
 SECTIONS = [(0, "First", "Fittings", "1", "3"), (1, "Inner", "Inner fittings", "2", "2"), (2, "Second", "Valves", "4", None), (3, "Third", "Tools", "9", "10000000"), (4, "No page", "None", "x", "5"), (5, "Out", "None", "0", "5")]
@@ -201,7 +263,9 @@ def doubtful_parts(spark, sf_dir):
     rows = catalog_parts(spark, sf_dir).select("page_no", "idx", F.lit("CATALOG").alias("subcategory"), "part_no", F.lit("").alias("series"), F.col("p_type").alias("description"))
     invented = rows.where("idx = 0").select("page_no", F.lit(1000).alias("idx"), "subcategory", F.concat(F.lit("GHOST-"), F.col("page_no").cast("string")).alias("part_no"), "series", "description")
     repeated = rows.where("description = 'SMALL'").withColumn("idx", F.col("idx") + 2000)
-    return rows.unionByName(invented).unionByName(repeated)
+    every = rows.unionByName(invented).unionByName(repeated)
+    parts = F.array_sort(F.collect_list(F.struct("idx", "part_no", "series", "description")))
+    return every.groupBy("page_no", "subcategory").agg(parts.alias("parts")).withColumn("skipped", F.lit(False))
 
 
 @query(f"WITH {SECTION_SQL}, {PLACED_SQL} SELECT row_number() OVER (ORDER BY p_partkey) AS sequence, (p_partkey // 50 + 1)::INT AS page_no, p_brand || '-' || p_partkey AS part_no, coalesce(category, '') AS category, 'CATALOG' AS subcategory, '' AS series, p_type AS description FROM part JOIN placed ON page_no = p_partkey // 50 + 1")
@@ -275,7 +339,8 @@ def product_json_to_parts(spark, sf_dir):
 
 @query("SELECT DISTINCT unnest(map_keys(attributes)) AS label FROM part_records")
 def attribute_union(spark, sf_dir):
-    return table(spark, sf_dir, "part_records").select(F.explode(F.map_keys("attributes")).alias("label")).distinct()
+    labels = xlsx.attribute_labels(table(spark, sf_dir, "part_records").withColumn("pos", F.col("rec_id")))
+    return spark.createDataFrame([(x,) for x in labels], "label string")
 
 
 @query("SELECT rec_id, (SELECT string_agg(coalesce(attributes[display_label], ''), '|' ORDER BY display_label) FROM attribute_defs) AS cells FROM part_records")
@@ -301,10 +366,17 @@ def domain_keys(spark, sf_dir):
     return table(spark, sf_dir, "part_records").select(keys.domain_key(keys.authority(F.col("url"))).alias("domain_key")).distinct()
 
 
-@query("SELECT rec_id, url || '?page=3' AS normal FROM part_records WHERE url IS NOT NULL")
+#: Links of a page by kind of its id, and what they become: an absolute one with a fragment, a path, a neighbour, a
+#: query only, another host, another port, repeated paging values.
+LINKS = [("/p/1?page=3&ref=x#top", "{site}/p/1?page=3"), ("/a/b/", "{site}/a/b/"), ("?page=&q=1", "{url}?page="), ("//other.example/x", None), ("#part", "{url}"), ("/l?page=2&page=4&q=", "{site}/l?page=2&page=4"), ("http://[", None), ("mailto:a@b.example", None)]
+LINK_SQL = " ".join(f"WHEN {i} THEN " + ("NULL" if to is None else "'" + to.replace("{site}", "' || site || '").replace("{url}", "' || url || '") + "'") for i, (_, to) in enumerate(LINKS))
+
+
+@query(f"SELECT rec_id, CASE rec_id % {len(LINKS)} {LINK_SQL} END AS normal FROM (SELECT rec_id, url, regexp_extract(url, '^[a-z]+://[^/]+') AS site FROM part_records WHERE url IS NOT NULL)")
 def url_normalize(spark, sf_dir):
     rows = table(spark, sf_dir, "part_records").where("url is not null")
-    return rows.select("rec_id", urls.normalize_url(F.concat("url", F.lit("?page=3&ref=x#top")), F.col("url"), "page").alias("normal"))
+    href = F.element_at(F.array(*[F.lit(link) for link, _ in LINKS]), (F.col("rec_id") % len(LINKS)).cast("int") + 1)
+    return rows.select("rec_id", urls.normalize_url(href, F.col("url"), "page").alias("normal"))
 
 
 def site_pages(spark, sf_dir):
@@ -360,14 +432,18 @@ def link_graph(spark, sf_dir):
     nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     up = nation.select(F.col("n_regionkey").cast("string").alias("site"), F.concat(F.lit("/list/"), F.col("n_regionkey").cast("string")).alias("url"), F.col("n_nationkey").cast("int").alias("pos"), F.concat(F.lit("/group/"), F.col("n_nationkey").cast("string")).alias("target"))
     down = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("string").alias("site"), F.concat(F.lit("/group/"), F.col("n_nationkey").cast("string")).alias("url"), F.col("c_custkey").cast("int").alias("pos"), F.concat(F.lit("/p/"), F.col("c_custkey").cast("string")).alias("target"))
-    starts = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("site"), F.concat(F.lit("/list/"), F.col("r_regionkey").cast("string")).alias("url"))
+    starts = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("site"), F.concat(F.lit("/list/"), F.col("r_regionkey").cast("string")).alias("url"), F.lit(1).alias("pos"))
     return up.unionByName(down), starts
 
 
-@query("SELECT n_regionkey::VARCHAR AS site, row_number() OVER (PARTITION BY n_regionkey ORDER BY rnk, c_custkey) - 1 AS pos, '/p/' || c_custkey AS url FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rnk FROM nation) JOIN customer ON c_nationkey = n_nationkey WHERE rnk <= 3")
+@query("""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rnk, count(*) OVER (PARTITION BY n_regionkey) AS nations FROM nation)
+SELECT n_regionkey::VARCHAR AS site, row_number() OVER (PARTITION BY n_regionkey ORDER BY rnk = nations DESC, rnk, c_custkey) - 1 AS pos, '/p/' || c_custkey AS url FROM n JOIN customer ON c_nationkey = n_nationkey""")
 def crawl_urls(spark, sf_dir):
+    """Each region has two start pages: first its last nation's page, then its list."""
     edges, starts = link_graph(spark, sf_dir)
-    return site_urls.crawl_urls(edges, starts, r"^/p/", r"^/group/", budget=4)
+    first = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("string").alias("site")).agg(F.concat(F.lit("/group/"), F.max("n_nationkey").cast("string")).alias("url")).withColumn("pos", F.lit(0))
+    return site_urls.crawl_urls(edges, starts.unionByName(first), r"^/p/", r"^/group/")
 
 
 @query("SELECT DISTINCT n_regionkey::VARCHAR AS site, '/p/' || c_custkey AS url FROM nation JOIN customer ON c_nationkey = n_nationkey")
@@ -406,10 +482,43 @@ def added_count(spark, sf_dir):
     return merge.added_count(table(spark, sf_dir, "raw_parts"), table(spark, sf_dir, "part_records"))
 
 
-@query("SELECT event_type, count(*) AS runs, sum((props->>'$.k')::BIGINT)::BIGINT AS k, min(event_id) AS first_id FROM events GROUP BY 1")
+def shared_folder(spark, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors can read."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_type AS kind, count(*) AS parts, event_type = 'view' AS cache_hit, 'events' AS source FROM events GROUP BY 1")
 def run_history(spark, sf_dir):
-    k = F.from_json("props", "k long")["k"]
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("runs"), F.sum(k).alias("k"), F.min("event_id").alias("first_id"))
+    """Every type of event recorded as a run by the store, and the history read back."""
+    box = store.Store(spark, shared_folder(spark, "history"))
+    for r in table(spark, sf_dir, "events").groupBy("event_type").count().orderBy("event_type").collect():
+        box.record_run(source="events", kind=r.event_type, parts=r["count"], cache_hit=r.event_type == "view", stopped_early=False, id="given")
+    return box.runs().where("id <> 'given' and timestamp is not null").select("kind", "parts", "cache_hit", "source")
+
+
+@query("SELECT DISTINCT site, snapshot_id::BIGINT AS snapshot_id, n AS parts FROM (SELECT snapshot_id, site, complete, fetched_at, row_number() OVER (PARTITION BY site ORDER BY complete DESC, fetched_at DESC, snapshot_id DESC) AS rank FROM web_snapshots WHERE site <> '') JOIN (SELECT snapshot_id, count(*) AS n FROM snapshot_parts GROUP BY 1) USING (snapshot_id) WHERE rank = 1")
+def stored_snapshots(spark, sf_dir):
+    """Every site's last complete snapshot written to the store twice, a stale version first, and read back."""
+    box, parts = store.Store(spark, shared_folder(spark, "store")), table(spark, sf_dir, "snapshot_parts")
+    last = table(spark, sf_dir, "web_snapshots").where("site <> ''").groupBy("site").agg(F.max_by("snapshot_id", F.struct("complete", "fetched_at", "snapshot_id")).alias("snapshot_id"))
+    all_parts = parts.join(last, "snapshot_id").select("site", "snapshot_id", "part_no")
+    box.write("site", "all", all_parts.limit(0), complete=False)
+    box.write("site", "all", all_parts, complete=True)
+    rows, meta = box.read("site", "all")
+    return rows.where(F.lit(meta["complete"])).groupBy("site", "snapshot_id").agg(F.count("*").alias("parts"))
+
+
+@query("SELECT entry_id, trim(raw) AS raw FROM filter_entries WHERE regexp_full_match(raw, '[!-~]([ -~]*[!-~])?') AND NOT regexp_full_match(raw, '[0-9]+')")
+def workbook_roundtrip(spark, sf_dir):
+    """The requested lines written to a workbook with a row for each and read back by the data source ``part_list``."""
+    lines = table(spark, sf_dir, "filter_entries").where(F.col("raw").rlike(r"^[!-~]([ -~]*[!-~])?$") & ~F.col("raw").rlike(r"^[0-9]+$")).select("entry_id", "raw")
+    rows = lines.orderBy("entry_id").collect()  # a workbook is one file written by one program
+    folder = tempfile.mkdtemp(prefix="partmill-workbook-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    xlsx.write_sheets(Path(folder) / "list.xlsx", {"Sheet1": ([["Qty", "Part No"], *([1, r.raw] for r in rows)], 1)})
+    sheet = xlsx.load_filter_sheet(Path(folder) / "list.xlsx")
+    return spark.createDataFrame([(rows[at - 2].entry_id, raw) for raw, at in sheet.entries], "entry_id long, raw string")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS value FROM events GROUP BY 1, 2")

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partmill.errors import LLMError, PdfError, WebError
-from partmill.functions.keys import is_contents_page, is_digital
+from partmill.functions.keys import is_contents_page, is_digital, plain_key
 from partmill.operators import catalog, match, merge, pages as page_ops
 from partmill.session import durable
 from partmill.sources.store import Store
 
-#: Entries of a part list up to which a run of units ends early once all of them are found.
-SEARCH_LIMIT = 500
+#: Parts that a run holds before it writes them.
+HELD = 10_000
 PART = "part_no string, category string, subcategory string, series string, description string, attributes map<string,string>, pos long"
 
 
@@ -48,11 +48,16 @@ def run_pages(
     entries: DataFrame | None = None,
     sections_of: Callable[[str, int], Iterable[tuple]] | None = None,
     extractor: Callable[[str, int, str], dict] | None = None,
+    cancelled: Callable[[], bool] = lambda: False,
+    progress: Callable[[str, float], None] = lambda message, part: None,
+    batch: int = 1000,
 ) -> Result:
     """One document's pages (page_no, text) to a catalog.
 
     A complete snapshot of the same content hash (``key``) is reused.  ``sections_of`` reads a table of contents (its
     text and the number of pages) into (ord, name, category, start_page, end_page) and is called only if there is one.
+    Pages are read in batches of ``batch`` pages, each written before the next; when the run is cancelled or the model
+    fails, what was read is kept as an incomplete snapshot; a failure before the first batch is an error.
     """
     stored = store.read("pages", key)
     if stored and stored[1].get("complete"):
@@ -67,13 +72,34 @@ def run_pages(
     contents = [r.text for r in tagged.where(is_contents_page(F.col("text"), F.col("page_no"))).orderBy("page_no").collect()]
     raw = list(sections_of("\n".join(contents), total)) if contents and sections_of else []
     sections = catalog.clean_sections(spark.createDataFrame([tuple(None if x is None else str(x) if i > 2 else x for i, x in enumerate(r)) for r in raw], "ord int, name string, category string, start_page string, end_page string"), total)
-    results = durable(page_ops.page_results(tagged, extractor))
-    found = catalog.validate_catalog(catalog.exploded_parts(results), tagged, sections)
+    last = tagged.agg(F.max("page_no")).first()[0] or 0
+    results, notices = None, []
+    for start in range(0, last + 1, batch):
+        if cancelled():
+            notices = [f"Cancelled after page {max(0, start - 1)} of {total}."]
+            break
+        progress(f"Pages from {max(1, start)} of {total}", start / (last + 1))
+        try:
+            read = durable(page_ops.page_results(tagged.where(F.col("page_no").between(start, start + batch - 1)), extractor, sections))
+        except Exception as failure:
+            if results is None or not is_model_failure(failure):
+                raise
+            notices = [f"Stopped after page {start - 1} of {total}: the model gave no answer."]
+            break
+        results = read if results is None else results.unionByName(read)
+    if results is None:
+        results = page_ops.page_results(tagged.limit(0))
+    found = catalog.validate_catalog(results, tagged, sections)
     parts = durable(found.select("part_no", "category", "subcategory", "series", "description", F.map_from_arrays(F.array(), F.array()).cast("map<string,string>").alias("attributes"), F.col("sequence").alias("pos"), F.col("sequence")))
-    store.write("pages", key, parts, complete=True)
+    store.write("pages", key, parts, complete=not notices)
     chosen, report = filtered(parts, entries)
-    store.record_run(source=key, kind="pages", parts=parts.count(), cache_hit=False, stopped_early=False)
-    return Result(chosen, report)
+    store.record_run(source=key, kind="pages", parts=parts.count(), cache_hit=False, stopped_early=bool(notices))
+    return Result(chosen, report, stopped_early=bool(notices), notices=notices)
+
+
+def is_model_failure(failure: Exception) -> bool:
+    """Whether an error is the model's, on the driver or out of a worker."""
+    return isinstance(failure, LLMError) or LLMError.__name__ in str(failure)
 
 
 def run_units(
@@ -102,12 +128,18 @@ def run_units(
     old = stored[0] if resumed else spark.createDataFrame([], PART)
     done = list(stored[1].get("progress", [])) if resumed else []
     left = [r.unit_key for r in merge.remaining_units(spark.createDataFrame([(u, i) for i, u in enumerate(units)], "unit_key string, i int"), spark.createDataFrame([(u,) for u in done], "unit_key string")).orderBy("i").collect()]
-    wanted = None
-    if entries is not None:
-        wanted = {r.k for r in entries.select(match.normalize_key(F.col("raw")).alias("k")).distinct().limit(SEARCH_LIMIT + 1).collect()}
-        wanted = wanted if len(wanted) <= SEARCH_LIMIT else None
-    rows: list[dict] = []
-    found: set[str] = set()
+    wanted = None if entries is None else durable(entries.select(match.normalize_key(F.col("raw")).alias("k")).distinct())
+    fields = [f.split()[0] for f in PART.split(", ")[:-1]]
+    blank = lambda name: {} if name.startswith("attributes") else ""
+    written, rows, taken = spark.createDataFrame([], PART), [], 0
+
+    def write_held() -> None:
+        """What was collected leaves the driver; a run holds the parts of some units only."""
+        nonlocal written, rows, taken
+        new = spark.createDataFrame([tuple(p.get(f) or blank(f) for f in fields) + (taken + i,) for i, p in enumerate(rows)], PART)
+        written, taken, rows = written.unionByName(durable(new)), taken + len(rows), []
+
+    open_keys = None if wanted is None else wanted.count()
     stopped, error = False, None
     for n, unit in enumerate(left):
         if cancelled():
@@ -121,17 +153,20 @@ def run_units(
             break
         rows += got
         done.append(unit)
-        if wanted is not None:
-            found |= {"".join(c for c in p["part_no"].upper() if c.isascii() and c.isalnum()) for p in got}
-            if wanted <= found:
+        if len(rows) >= HELD:
+            write_held()
+        if open_keys and got:
+            # only keys that are still wanted are asked for, whatever the length of the list
+            keys = spark.createDataFrame([(k,) for k in sorted({plain_key(p["part_no"]) for p in got})], "k string")
+            wanted = durable(wanted.join(keys, "k", "left_anti"))
+            open_keys = wanted.count()
+            if not open_keys:
                 stopped = n + 1 < len(left)
                 break
-    if error is not None and not rows and not resumed:
+    if error is not None and not rows and not taken and not resumed:
         raise error
-    fields = [f.split()[0] for f in PART.split(", ")[:-1]]
-    blank = lambda name: {} if name.startswith("attributes") else ""
-    new = spark.createDataFrame([tuple(p.get(f) or blank(f) for f in fields) + (i,) for i, p in enumerate(rows)], PART)
-    parts = durable(merge.merge_keep_first(old, new).select(*new.columns))
+    write_held()
+    parts = durable(merge.merge_keep_first(old, written).select(*written.columns))
     notices = drift(stored[0], parts) if stored and not resumed and not stopped else []
     store.write("site", site, parts, complete=not stopped, **({"progress": done} if stopped else {}))
     chosen, report = filtered(parts, entries)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections import deque
+from heapq import heappop, heappush
+from itertools import count
 from urllib.parse import quote
 
 import pandas as pd
@@ -43,45 +43,58 @@ def robots_sitemap(text: str | None) -> str | None:
     return None
 
 
-def replay_crawl(start: list[str], links: dict[str, list[str]], product: str, category: str | None, paging: str | None, budget: int) -> list[str]:
-    """Product URLs in the order a serial crawl finds them: a queue of pages; product links are found once, category
-    links join the queue; a page that gave something new puts its next page in front."""
-    is_product, is_category = re.compile(product).search, re.compile(category).search if category else None
-    queue, out = deque(dict.fromkeys(start)), []
-    visited, found, pages = set(queue), set(), 0
-    while queue and pages < budget:
-        url = queue.popleft()
-        pages += 1
-        fresh = False
-        for target in links.get(url, ()):
-            if is_product(target) and target not in found:
-                found.add(target)
-                out.append(target)
-                fresh = True
-            elif is_category and is_category(target) and target not in visited:
-                visited.add(target)
-                queue.append(target)
-        if paging and fresh and (following := next_page(url, paging)) not in visited:
-            visited.add(following)
-            queue.appendleft(following)
-    return out
+PRODUCT, CATEGORY = "product", "category"
+
+
+def replay_crawl(start: list[str], links: dict[str, list[tuple[str, str]]], paging: str | None, budget: int) -> list[str]:
+    """Product URLs in the order a serial crawl finds them.
+
+    links: page -> (kind, target) in the page's order.  Every page to visit has a turn: start pages by their order, found
+    categories after all known, the next page of a page that gave something new before all.  The least turn is visited
+    next, up to ``budget`` pages; each page gets one turn and each product is found once.
+    """
+    turns = {url: turn for turn, url in enumerate(dict.fromkeys(start))}
+    waiting = [(turn, url) for url, turn in turns.items()]
+    later, sooner, found = count(len(waiting)), count(-1, -1), {}
+    while waiting and budget > 0:
+        _, url = heappop(waiting)
+        budget -= 1
+        known = len(found)
+        for kind, target in links.get(url, ()):
+            if kind == PRODUCT:
+                found.setdefault(target, url)
+            elif target not in turns:
+                turns[target] = next(later)
+                heappush(waiting, (turns[target], target))
+        following = next_page(url, paging) if paging and len(found) > known else url
+        if following not in turns:
+            turns[following] = next(sooner)
+            heappush(waiting, (turns[following], following))
+    return list(found)
 
 
 def crawl_urls(edges: DataFrame, starts: DataFrame, product: str, category: str | None = None, paging: str | None = None, budget: int = 10_000) -> DataFrame:
     """site, pos, url of the product pages that a crawl of each site finds.
 
-    edges: site, url, pos, target (links extracted and normalised in parallel); starts: site, url.  The order of a
-    queue with a budget can't be expressed set-based, so each site's queue is replayed by one task; what it gets are the
-    distinct links of that site (first position), which its page budget bounds in a real crawl.
+    edges: site, url, pos, target (links extracted and normalised in parallel); starts: site, url, pos (their order).
+    Links that are neither products nor categories are dropped before the queue is replayed: its order and budget can't
+    be expressed set-based, so one task replays a site with its distinct links, which its page budget bounds in a real
+    crawl.
     """
-    first = edges.where("target is not null").groupBy("site", "url", "target").agg(F.min("pos").alias("pos"))
-    tagged = first.select("site", "url", "target", "pos").unionByName(starts.select("site", "url", F.lit(None).cast("string").alias("target"), F.lit(-1).alias("pos")))
+    kind = F.when(matches(F.col("target"), product), PRODUCT)
+    if category:
+        kind = kind.when(matches(F.col("target"), category), CATEGORY)
+    typed = edges.where("target is not null").withColumn("kind", kind).where("kind is not null")
+    first = typed.groupBy("site", "url", "kind", "target").agg(F.min("pos").alias("pos"))
+    none = F.lit(None).cast("string")
+    tagged = first.select("site", "url", "kind", "target", "pos").unionByName(starts.select("site", "url", none.alias("kind"), none.alias("target"), "pos"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        links: dict[str, list[str]] = {}
-        for url, target in pdf[pdf["pos"] >= 0].sort_values(["url", "pos"])[["url", "target"]].itertuples(index=False):
-            links.setdefault(url, []).append(target)
-        found = replay_crawl(sorted(pdf[pdf["pos"] < 0]["url"]), links, product, category, paging, budget)
+        ordered = pdf.sort_values("pos", kind="stable")
+        links: dict[str, list[tuple[str, str]]] = {}
+        for url, kind, target in ordered[ordered["target"].notna()][["url", "kind", "target"]].itertuples(index=False):
+            links.setdefault(url, []).append((kind, target))
+        found = replay_crawl(list(ordered[ordered["target"].isna()]["url"]), links, paging, budget)
         return pd.DataFrame({"site": pdf["site"].iloc[0], "pos": range(len(found)), "url": found})
 
     return tagged.groupBy("site").applyInPandas(run, "site string, pos long, url string")

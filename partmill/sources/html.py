@@ -44,12 +44,39 @@ class Element:
         return between.join(t for t in (x.strip() for x in self.texts()) if t)
 
     def select(self, selector: str) -> list[Element]:
-        found = chains(selector)
-        return [e for e in self.walk() if any(c.fits(e) for c in found)]
+        return Index(self).select(selector)
 
     def select_one(self, selector: str) -> Element | None:
-        found = chains(selector)
-        return next((e for e in self.walk() if any(c.fits(e) for c in found)), None)
+        return next(iter(self.select(selector)), None)
+
+
+class Index:
+    """A tree's elements in document order, by class, id and tag, from one walk; selectors look only at the elements that
+    their last step can mean, below any element of the tree."""
+
+    def __init__(self, root: Element):
+        self.root, self.order, self.last = root, {}, {}
+        self.by: dict[tuple[str, str], list[Element]] = {}
+        for at, element in enumerate(root.walk()):
+            self.order[id(element)] = at
+            keys = {("tag", element.tag), ("tag", "*"), ("id", element.attributes.get("id", ""))} | {("class", c) for c in element.attributes.get("class", "").split()}
+            for key in keys:
+                self.by.setdefault(key, []).append(element)
+            above = element
+            while above is not None and above is not root:
+                self.last[id(above)] = at
+                above = above.parent
+
+    def candidates(self, chain: Chain) -> list[Element]:
+        _, tag, tests = chain.steps[-1]
+        named = [("class", t[0]) for t in tests if t[0]] + [("id", t[1]) for t in tests if t[1]] + [("tag", tag)]
+        return min((self.by.get(key, []) for key in named), key=len)
+
+    def select(self, selector: str, below: Element | None = None) -> list[Element]:
+        """The elements that a selector means, in document order; only those below an element if one is given."""
+        inside = (lambda at: True) if below is None or below is self.root else (lambda at: self.order[id(below)] < at <= self.last[id(below)])
+        found = {self.order[id(e)]: e for chain in chains(selector) for e in self.candidates(chain) if inside(self.order[id(e)]) and chain.fits(e)}
+        return [found[at] for at in sorted(found)]
 
 
 class Chain:
@@ -139,24 +166,33 @@ def parse(html: str | None) -> Element:
     return builder.root
 
 
+#: The places of a part in its breadcrumb trail; all names beyond them are its series.
+TRAIL = ("category", "subcategory")
+
+
+def product_fields(page: Index, selectors: dict) -> Iterator[tuple[str, str, str]]:
+    """(field, name, value) rows of what a page's selectors find: ``part_no``, ``crumb`` and ``attribute``."""
+    for element in page.select(selectors["part_no"])[:1]:
+        yield "part_no", "", element.text()
+    for n, element in enumerate(page.select(selectors["breadcrumb"]) if selectors.get("breadcrumb") else ()):
+        if n or element.text().lower() != "home":
+            yield "crumb", "", element.text()
+    spec = selectors.get("attributes") or {"row": ""}
+    for row in page.select(spec["row"]) if spec["row"] else ():
+        pair = [page.select(spec[side], row)[:1] for side in ("label", "value")]
+        if all(pair) and (label := pair[0][0].text()):
+            yield "attribute", label.rstrip(":").strip(), pair[1][0].text(" ")
+
+
 def product_of(html: str | None, url: str, selectors: dict) -> dict | None:
     """The part of a product page; None if the selector of the number misses or is empty."""
-    page = parse(html)
-    number = page.select_one(selectors["part_no"])
-    part_no = number.text() if number else ""
-    if not part_no:
+    rows = list(product_fields(Index(parse(html)), selectors))
+    numbers = [value for kind, _, value in rows if kind == "part_no" and value]
+    if not numbers:
         return None
-    crumbs = [e.text() for e in page.select(selectors["breadcrumb"])] if selectors.get("breadcrumb") else []
-    if crumbs and crumbs[0].lower() == "home":
-        crumbs = crumbs[1:]
-    attributes: dict[str, str] = {}
-    spec = selectors.get("attributes") or {}
-    for row in page.select(spec["row"]) if spec else []:
-        label, value = row.select_one(spec["label"]), row.select_one(spec["value"])
-        if label is not None and value is not None and label.text():
-            attributes[label.text().rstrip(":").strip()] = value.text(" ")
-    crumbs += [""] * (2 - len(crumbs))
-    return {"part_no": part_no, "url": url, "category": crumbs[0], "subcategory": crumbs[1], "series": " / ".join(crumbs[2:]), "attributes": attributes}
+    trail = [value for kind, _, value in rows if kind == "crumb"]
+    places = dict(zip(TRAIL, [*trail, *[""] * len(TRAIL)]))
+    return {"part_no": numbers[0], "url": url, **places, "series": " / ".join(trail[len(TRAIL) :]), "attributes": {name: value for kind, name, value in rows if kind == "attribute"}}
 
 
 def product_pages(pages: DataFrame, selectors: dict) -> DataFrame:
@@ -185,12 +221,6 @@ def page_links(pages: DataFrame, paging: str | None = None) -> DataFrame:
     return pages.select("url", "html").mapInPandas(read, "url string, pos int, href string, target string")
 
 
-def is_blocked(title: str | None, body: str | None) -> bool:
-    """Whether a page is a block page instead of content."""
-    text = f"{title or ''} {(body or '')[:2000]}".lower()
-    return any(x in text for x in ("access denied", "attention required", "are you a robot", "request blocked"))
-
-
 def visible_titles(pages: DataFrame) -> DataFrame:
     """url, title of each page (url, html)."""
     return pages.select("url", F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))

@@ -17,7 +17,7 @@ def is_product_api(doc: Column) -> Column:
 def breadcrumb_parts(crumbs: Column) -> tuple[Column, Column, Column]:
     """category, subcategory and the rest joined by `` / `` of an array of names without ``Home``."""
     kept = F.filter(crumbs, lambda x: x != "Home")
-    return blank(F.get(kept, F.lit(0))), blank(F.get(kept, F.lit(1))), F.array_join(F.slice(kept, 3, 1000), " / ")
+    return blank(F.get(kept, F.lit(0))), blank(F.get(kept, F.lit(1))), F.array_join(F.slice(kept, F.lit(3), F.greatest(F.size(kept) - 2, F.lit(0))), " / ")
 
 
 def products(payloads: DataFrame) -> DataFrame:

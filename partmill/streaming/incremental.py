@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partmill.operators.match import keep_first
-from partmill.operators.merge import merge_keep_first
 from partmill.operators.pages import parse_pages
 
 PAGES = "doc string, page_no int, text string"
@@ -22,26 +21,27 @@ PARTS = "part_no string, doc string, series string, description string, pos long
 
 def page_parts(pages: DataFrame) -> DataFrame:
     """part_no, doc, series, description, pos (page and index in one number) of pages."""
-    rows = parse_pages(pages).select("doc", "page_no", F.posexplode("parts").alias("idx", "p"))
-    return rows.select("p.part_no", "doc", "p.series", "p.description", (F.col("page_no").cast("long") * 1_000_000 + F.col("idx")).alias("pos"))
+    rows = parse_pages(pages).select("doc", "page_no", F.inline("parts"))
+    return rows.select("part_no", "doc", "series", "description", (F.col("page_no").cast("long") * 1_000_000 + F.col("idx")).alias("pos"))
 
 
 def catalog_version(spark: SparkSession, root: str, batch: int) -> DataFrame:
-    """The catalog after a batch; empty before the first."""
+    """The catalog after a batch: what each batch up to it added; empty before the first."""
     if batch < 0:
         return spark.createDataFrame([], PARTS)
-    return spark.read.schema(PARTS).parquet(f"{root}/catalog/batch={batch:09d}")
+    return spark.read.schema(f"{PARTS}, batch long").parquet(f"{root}/catalog").where(F.col("batch") <= batch).drop("batch")
 
 
 def merge_batch(root: str, progress: Callable[[str, float], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """The function for ``foreachBatch``: version n is version n - 1 with the batch's new part numbers."""
+    """The function for ``foreachBatch``: it writes the part numbers that are new in batch n, and nothing else, so n
+    batches cost n times a batch; a batch that is run again overwrites what it wrote."""
 
     def run(batch: DataFrame, n: int) -> None:
         if progress:
             progress(f"batch {n}", -1.0)
-        old = catalog_version(batch.sparkSession, root, n - 1)
-        new = keep_first(page_parts(batch), ["part_no"], ["pos", "doc"])
-        merge_keep_first(old, new.select(*old.columns)).select(*old.columns).write.mode("overwrite").parquet(f"{root}/catalog/batch={n:09d}")
+        known = catalog_version(batch.sparkSession, root, n - 1).select("part_no")
+        new = keep_first(page_parts(batch), ["part_no"], ["pos", "doc"]).join(known, "part_no", "left_anti")
+        new.select("part_no", "doc", "series", "description", "pos").write.mode("overwrite").parquet(f"{root}/catalog/batch={n}")
 
     return run
 

@@ -3,17 +3,17 @@
 import json
 
 import pytest
-from partmill.errors import OutputError, PdfError, WebError
+from partmill.errors import LLMError, OutputError, PdfError, WebError
 from partmill.functions import keys, urls
 from partmill.operators import catalog, match, merge, pages
 from partmill.plans import runs
-from partmill.sources import config, enumerate as site_urls, html, product_api, store, xlsx
+from partmill.sources import config, enumerate as site_urls, fetch, html, product_api, site_api, store, xlsx
 from partmill.sources.config import SiteConfig
 from partmill.streaming import incremental
 from pyspark.sql import functions as F
 
 
-@pytest.mark.parametrize(("token", "is_code"), [("1460-4", True), ("S3749-2A", True), ("GO9-72", True), ("3/8", False), (".122", False), ("1-1/4", False), ("NIPPLE", False), ("", False)])
+@pytest.mark.parametrize(("token", "is_code"), [("7-20", True), ("W5", True), ("QX40-7B", True), ("5/16", False), ("2-3/16", False), (".75", False), ("12.5", False), ("FLANGE", False), ("-", False), ("", False)])
 def test_codes(token, is_code):
     assert pages.is_code(token) is is_code
 
@@ -21,16 +21,17 @@ def test_codes(token, is_code):
 @pytest.mark.parametrize(
     ("text", "parts", "reasons"),
     [
-        ("PART No.  Pipe\nXX-100-A  1/2", [("XX-100-A", "", "Pipe: 1/2")], []),
-        ("PART No.  Tube  Pipe\nYY-200-A  3/8  1/2", [("YY-200-A", "", "Tube: 3/8, Pipe: 1/2")], []),
-        ("PART No.  Description  Qty\nKIT-300-A  Replacement seal and spring assortment  6", [("KIT-300-A", "", "Replacement seal and spring assortment, Qty: 6")], []),
-        ("PART No.  Pipe    PART No.  Pipe\nMV-401-L  1  MV-402-L  1-1/4", [("MV-401-L", "", "Pipe: 1"), ("MV-402-L", "", "Pipe: 1-1/4")], []),
-        ("UNION\nSTRAIGHT\nSHORT\nTube Size  Part No.\n1/4 in  KI-1-B", [("KI-1-B", "STRAIGHT SHORT", "Tube: 1/4, Size: in")], []),
-        ("90 DEG ELBOW\nPART No.\nA-1", [("A-1", "", "")], []),
-        ("PART No.  Pipe\n3/8  3/4", [], [pages.ODD]),
-        ("PART No.\nAB- 12", [], [pages.SPACED, pages.ODD]),
-        ("word " * 40, [], [pages.NOTHING]),
-        ("", [], []), (None, [], []), ("A-1 no header in force", [], []),
+        ("Part No  Bore\nW-7  5/16", [("W-7", "", "Bore: 5/16")], []),
+        ("part no.\tBore\tWall\nW-7 5/16 .049", [("W-7", "", "Bore: 5/16, Wall: .049")], []),
+        ("PART No. Bore Wall\nW-7 5/16 .049 extra", [("W-7", "", "5/16 .049 extra")], []),
+        ("PART No.  Grade  Description  Quantity\nW-7  B  Gasket set with two rings  12.5", [("W-7", "", "Grade: B, Gasket set with two rings, Quantity: 12.5")], []),
+        ("PART No.  Description  Qty\nW-7  Gasket ring", [("W-7", "", "Gasket ring")], []),
+        ("Bore  PART No.  Wall\n2 W-7 .049\n3 W-8", [("W-7", "", "Bore: 2, Wall: .049"), ("W-8", "", "Bore: 3")], []),
+        ("Part No.  Bore  Part No.  Bore\nW-7 2 W-8 3 W-9 4", [("W-7", "", "Bore: 2"), ("W-8", "", "3 W-9 4")], []),
+        ("FLANGES\nBLIND\nRAISED FACE\nPART No.  Bore\nW-7 2\nSLIP ON\nW-8 3", [("W-7", "BLIND RAISED FACE", "Bore: 2"), ("W-8", "RAISED FACE SLIP ON", "Bore: 3")], []),
+        ("FLANGES\nPART No.\nW-700 2", [], []), ("PART No. PART No.\nW-7 W-8", [("W-7", "", ""), ("W-8", "", "")], []), ("PART No.  Bore\nW-7 2\nPART No.\nW-8 3", [("W-7", "", "Bore: 2")], []),
+        ("PART No.  Bore\n5/16  2.5in", [], [pages.ODD]), ("PART No.  Bore\nW- 7", [], [pages.SPACED, pages.ODD]), ("PART No.  Bore\nW-7 2\nSize 4\nW- 8", [("W-7", "", "Bore: 2")], [pages.ODD, pages.SPACED]),
+        ("some text " * 20, [], [pages.NOTHING]), ("some text " * 19, [], []), ("", [], []), (None, [], []), ("W-7 without a header", [], []), ("PART No.  Bore\nW-7 " + "y " * 50_000, [("W-7", "", ("y " * 50_000).strip())], []),
     ],
 )
 def test_parse_page(text, parts, reasons):
@@ -38,13 +39,17 @@ def test_parse_page(text, parts, reasons):
 
 
 def test_page_results_and_routes(spark):
-    table = spark.createDataFrame([("d", 1, "PART No.  Pipe\n3/8  3/4 " + "x" * 50), ("d", 2, " \n"), ("d", 3, None), ("d", 4, "TITLE\nPART No.\nA-1 " + "y" * 60)], "doc string, page_no int, text string")
+    table = spark.createDataFrame([("d", 1, "PART No.  Bore\n5/16  3/4 " + "x" * 50), ("d", 2, " \n"), ("d", 3, None), ("d", 4, "TITLE\nPART No.  Bore\nW-7 " + "y" * 60), ("d", 5, "A page of plain words about flanges, nothing else at all.")], "doc string, page_no int, text string")
     found = {r.page_no: r for r in pages.page_results(table).collect()}
-    assert [found[n].route for n in (1, 2, 3, 4)] == ["fallback", "blank", "blank", "deterministic"]
-    assert found[4].subcategory == "TITLE" and found[1].skip_reason == "needs fallback"
-    model = lambda text, page_no, category: {"subcategory": "S", "parts": [{"part_no": "M-1"}, 7], "skip_reason": None}
-    again = {r.page_no: r for r in pages.page_results(table, model).collect()}
-    assert again[1].parts[0].part_no == "M-1" and len(again[1].parts) == 1 and not again[1].skipped
+    assert [found[n].route for n in (1, 2, 3, 4, 5)] == ["fallback", "blank", "blank", "deterministic", "deterministic"]
+    assert [(found[n].skipped, found[n].skip_reason) for n in (1, 2, 4, 5)] == [(True, "needs fallback"), (True, "blank"), (False, None), (True, None)]
+    assert found[4].subcategory == "TITLE" and found[4].parts[0].part_no == "W-7"
+    model = lambda text, page_no, category: {"subcategory": category, "parts": [{"part_no": "M-1"}, 7], "skip_reason": None}
+    sections = spark.createDataFrame([(0, "S", "Flanges", 1, 3)], "ord int, name string, category string, start_page int, end_page int")
+    again = {r.page_no: r for r in pages.page_results(table, model, sections).collect()}
+    assert again[1].parts[0].part_no == "M-1" and len(again[1].parts) == 1 and not again[1].skipped and again[1].subcategory == "Flanges"
+    report = catalog.validation_report(pages.page_results(table, model), table.select("page_no", "text")).first()
+    assert (report.total_parts, report.dropped, report.duplicates, report.pages_processed, report.pages_skipped) == (1, 1, 0, 2, 3)
 
 
 def test_sections(spark, rows):
@@ -57,12 +62,14 @@ def test_sections(spark, rows):
 
 def test_catalog_keeps_the_first_part_that_is_on_its_page(spark):
     text = spark.createDataFrame([(1, "A 1\nB-2"), (2, "A1 C-3")], "page_no int, text string")
-    parts = spark.createDataFrame([(1, 0, "s", "A1", "", ""), (1, 1, "s", "GHOST", "", ""), (2, 0, "s", "A1", "", ""), (2, 1, "s", "C-3", "", ""), (1, 2, "s", "", "", "")], "page_no int, idx int, subcategory string, part_no string, series string, description string")
+    struct = lambda *rows: [(i, n, "", "") for i, n in rows]
+    results = spark.createDataFrame([(1, "s", False, struct((0, "A1"), (1, "GHOST"), (2, ""))), (2, "s", False, struct((0, "A1"), (1, "C-3"))), (3, "s", True, struct((0, "D")))], f"page_no int, subcategory string, skipped boolean, parts {pages.PARTS}")
     sections = spark.createDataFrame([], "ord int, name string, category string, start_page int, end_page int")
-    found = catalog.validate_catalog(parts, text, sections).orderBy("sequence").collect()
+    found = catalog.validate_catalog(results, text, sections).orderBy("sequence").collect()
     assert [(r.sequence, r.part_no, r.category) for r in found] == [(1, "A1", ""), (2, "", ""), (3, "C-3", "")]
-    report = catalog.validation_report(parts, text, 1).first()
-    assert (report.total_parts, report.dropped, report.duplicates, report.pages_processed, report.pages_skipped) == (3, 1, 1, 1, 1)
+    report = catalog.validation_report(results, text).first()
+    assert (report.total_parts, report.dropped, report.duplicates, report.pages_processed, report.pages_skipped) == (3, 1, 1, 2, 1)
+    assert [tuple(r) for r in catalog.duplicate_parts(results, text).collect()] == [(2, 0, "A1")] and [tuple(r) for r in catalog.dropped_parts(results, text).collect()] == [(1, 1, "GHOST")]
 
 
 def entries_of(spark, *texts):
@@ -75,19 +82,19 @@ def parts_of(spark, *numbers):
 
 @pytest.mark.parametrize(
     ("text", "numbers", "kind", "matched"),
-    [("bi110ba", ["BI-110-BA", "bi110ba"], "exact", ["bi110ba"]), ("bi110ba", ["BI-110-BA"], "normalized", ["BI-110-BA"]), ("BI 110 BA", ["BI-110-BA", "bi110ba", "BI-110-BA"], "collision", ["BI-110-BA", "bi110ba"]), ("NOT", ["BI-110-BA"], "unmatched", []), ("---", ["--"], "normalized", ["--"]), (None, ["A"], "unmatched", [])],
+    [("qz77k", ["QZ-77-K", "qz77k"], "exact", ["qz77k"]), ("qz77k", ["QZ-77-K"], "normalized", ["QZ-77-K"]), ("QZ 77 K", ["QZ-77-K", "qz77k", "QZ-77-K"], "collision", ["QZ-77-K", "qz77k"]), ("other", ["QZ-77-K"], "unmatched", []), ("---", ["--"], "normalized", ["--"]), (None, ["A"], "unmatched", [])],
 )
 def test_match(spark, text, numbers, kind, matched):
     row = match.match_report(entries_of(spark, text), parts_of(spark, *numbers)).first()
-    assert (row.match_type, row.matched_part_nos, bool(row.note)) == (kind, matched, kind == "collision")
+    assert (row.match_type, row.matched_part_nos, row.note) == (kind, matched, f"2 {match.COLLISION}" if kind == "collision" else "")
 
 
 def test_matched_parts_and_lookup(spark):
-    parts = parts_of(spark, "SECOND", "FIRST", "SECOND")
-    report = match.match_report(entries_of(spark, "FIRST", "SECOND", "SECOND"), parts)
-    assert [r.part_no for r in match.matched_parts(parts, report).orderBy("pos").collect()] == ["SECOND", "FIRST"]
-    hits = match.lookup(entries_of(spark, "28002"), parts_of(spark, "28002-LF", "28-002", "128002", "28-002"))
-    assert [(r.part_no, r.pos) for r in hits.collect()] == [("28-002", 1)]
+    parts = parts_of(spark, "W-9", "W-2", "W-9")
+    report = match.match_report(entries_of(spark, "W-2", "w9", "W-9"), parts)
+    assert [r.part_no for r in match.matched_parts(parts, report).orderBy("pos").collect()] == ["W-9", "W-2"]
+    hits = match.lookup(entries_of(spark, "7 7410", "–"), parts_of(spark, "77410-B", "77-410", "177410", "77-410", "~"))
+    assert [(r.part_no, r.pos) for r in hits.where("entry_id = 0").collect()] == [("77-410", 1)] and hits.where("entry_id = 1").count() == 1
     assert match.is_covered(parts.limit(1), parts, "part_no") and not match.is_covered(parts, parts.where("pos = 1"), "part_no")
 
 
@@ -122,13 +129,18 @@ def test_html():
     assert html.product_of("<p>none</p>", "u", selectors) is None and html.product_of(None, "u", selectors) is None
 
 
-def test_crawl_order_paging_and_budget():
-    links = {"/c": ["/p/1", "/c/a", "/p/2"], "/c?page=2": ["/p/2", "/p/3"], "/c?page=3": ["/p/3"], "/c/a": ["/p/4"]}
-    assert site_urls.replay_crawl(["/c"], links, "^/p/", "^/c/", "page", 100) == ["/p/1", "/p/2", "/p/3", "/p/4"]
-    assert site_urls.replay_crawl(["/c"], links, "^/p/", "^/c/", "page", 2) == ["/p/1", "/p/2", "/p/3"]
-    assert site_urls.replay_crawl(["/c"], links, "^/p/", None, None, 100) == ["/p/1", "/p/2"]
+def test_crawl_order_paging_and_budget(spark):
+    p, c = site_urls.PRODUCT, site_urls.CATEGORY
+    links = {"/g": [(p, "/i/1"), (c, "/g/x"), (p, "/i/2")], "/g?page=2": [(p, "/i/2"), (p, "/i/3")], "/g?page=3": [(p, "/i/3")], "/g/x": [(p, "/i/4"), (c, "/g")]}
+    assert site_urls.replay_crawl(["/g"], links, "page", 100) == ["/i/1", "/i/2", "/i/3", "/i/4"]
+    assert site_urls.replay_crawl(["/g"], links, "page", 2) == ["/i/1", "/i/2", "/i/3"]
+    assert site_urls.replay_crawl(["/g"], links, None, 1) == ["/i/1", "/i/2"] and site_urls.replay_crawl(["/g"], links, None, 0) == []
+    edges = spark.createDataFrame([("s", "/z", 0, "/i/9"), ("s", "/a", 0, "/i/1"), ("s", "/z", 1, "/about"), ("s", "/z", 2, None)], "site string, url string, pos int, target string")
+    starts = spark.createDataFrame([("s", "/z", 0), ("s", "/a", 1)], "site string, url string, pos int")
+    crawl = lambda budget: [(r.pos, r.url) for r in site_urls.crawl_urls(edges, starts, "^/i/", "^/g", budget=budget).orderBy("pos").collect()]
+    assert crawl(1) == [(0, "/i/9")] and crawl(9) == [(0, "/i/9"), (1, "/i/1")]
     assert site_urls.robots_sitemap("User-agent: *\nSITEMAP : https://a/s.xml:1\nSitemap: b") == "https://a/s.xml:1" and site_urls.robots_sitemap(None) is None
-    assert site_urls.search_url("https://a/?q={query}", "GX 100/A") == "https://a/?q=GX%20100/A"
+    assert site_urls.search_url("https://a/?q={query}", "QX 7/B") == "https://a/?q=QX%207/B"
 
 
 def test_reachable_behind_a_long_chain(spark, monkeypatch):
@@ -213,6 +225,22 @@ def test_page_run(spark, tmp_path):
         runs.run_pages(spark, box, "other", spark.createDataFrame([(1, "x")], "page_no int, text string"))
     history = box.runs().collect()
     assert [(r.parts, r.cache_hit) for r in history] == [(40, False), (40, True)] and len(history[0].id) == 32
+    seen, more = [], spark.createDataFrame([(1, "word " * 50), (2, text), (3, text.replace("A-", "B-")), (4, "word " * 60)], "page_no int, text string")
+    asked = lambda text, page_no, category: {"parts": []}
+    cut = runs.run_pages(spark, box, "cut", more, extractor=asked, cancelled=lambda: len(seen) == 2, progress=lambda *x: seen.append(x), batch=2)
+    assert cut.stopped_early and cut.parts.count() == 80 and cut.notices == ["Cancelled after page 3 of 4."]
+
+    def failing(text, page_no, category):
+        if page_no > 3:
+            raise LLMError("no answer")
+        return {"parts": [{"part_no": "word"}]}
+
+    half = runs.run_pages(spark, box, "half", more, extractor=failing, batch=2)
+    assert half.stopped_early and half.parts.count() == 81
+    with pytest.raises(Exception, match="no answer"):
+        runs.run_pages(spark, box, "none", more, extractor=failing, batch=100)
+    whole = runs.run_pages(spark, box, "half", more, extractor=asked, batch=2)
+    assert not whole.stopped_early and not whole.cache_hit and whole.parts.count() == 80
 
 
 def test_site_run_resumes(spark, tmp_path):
@@ -234,19 +262,85 @@ def test_site_run_resumes(spark, tmp_path):
     assert len(fresh.notices) == 2 and fresh.parts.count() == 1
     early = runs.run_units(spark, box, "b.example", ["u1", "u2"], collect, entries_of(spark, "U1 1"))
     assert early.stopped_early and [r.part_no for r in early.parts.collect()] == ["u1-1"]
+    long = runs.run_units(spark, box, "d.example", ["u1", "u2", "u9"], lambda u: [{"part_no": f"{u}-{i}"} for i in range(400)], entries_of(spark, *[f"U{1 + i // 400} {i % 400}" for i in range(600)]))
+    assert long.stopped_early and long.parts.count() == 600
     with pytest.raises(WebError):
         runs.run_units(spark, box, "c.example", ["u"], lambda u: (_ for _ in ()).throw(WebError("x")))
     assert runs.drift(spark.createDataFrame([("a", {"k": "v"})], "p string, attributes map<string,string>"), spark.createDataFrame([("a", {})], "p string, attributes map<string,string>")) == ["No part has attributes any more."]
 
 
+class Site:
+    """Answers of a made-up site; time passes only by pauses."""
+
+    def __init__(self, **answers):
+        self.answers, self.asked, self.paused, self.now = answers, [], [], 100.0
+
+    def __call__(self, url):
+        key = next(k for k in self.answers if k in url)
+        self.asked.append(key)
+        answer = self.answers[key]
+        if isinstance(answer, list):
+            answer = answer.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return fetch.Answer(*answer) if isinstance(answer, tuple) else fetch.Answer(200, json.dumps(answer))
+
+    def pause(self, seconds):
+        self.paused.append(round(seconds, 3))
+        self.now += seconds
+
+    def fetcher(self):
+        return fetch.Fetcher(self, clock=lambda: self.now, pause=self.pause)
+
+
+def test_fetch_policy():
+    site = Site(flaky=[(503, ""), OSError("reset"), (200, '{"a": 1}')], gone=(404, ""), busy=[(429, "")] * 3, text=(200, "no json"), page=(302, "moved"))
+    fetcher = site.fetcher()
+    assert fetcher.document("flaky") == {"a": 1} and site.paused == [1.0, 2.0]
+    for url, tries, words in (("gone", 1, "404"), ("busy", 3, "429"), ("text", 1, "no JSON")):
+        with pytest.raises(WebError, match=words):
+            fetcher.document(url)
+        assert site.asked.count(url) == tries
+    assert fetcher.page("page") == "moved" and 0.5 in site.paused
+    for call in (fetcher.text, lambda url: fetcher.page("gone")):
+        with pytest.raises(WebError):
+            call("page")
+    for title, body, blocked in (("Just a Moment...", "", True), ("x", "Sorry, you have been BLOCKED", True), ("Attention Required! | x", "", True), ("Access denied", "access denied", False), (None, None, False), ("x", "y" * 5000 + "you have been blocked", True)):
+        assert fetch.is_blocked(title, body) is blocked
+    with pytest.raises(WebError, match="blocks"):
+        Site(home=(200, "", "Just a moment")).fetcher().establish("home")
+
+
+def product(number, segment="s"):
+    return {"productNumber": number, "productTitle": f"t {number}", "urlSegment": segment, "attributeTypes": [{"label": "Bore", "attributeValues": [{"valueDisplay": "1"}, {"valueDisplay": "2"}]}]}
+
+
+def test_site_api():
+    tree = {"categories": [{"id": 1, "shortDescription": "A", "subCategories": [{"id": 2, "shortDescription": "B"}, {"id": 3, "shortDescription": "C", "subCategories": [{"id": 4, "shortDescription": "D"}]}]}, {"id": 5, "shortDescription": "E", "subCategories": []}]}
+    pages_of = lambda n: {"pagination": {"numberOfPages": n}}
+    answers = {"websites": {"websiteId": 1}, "categories/": tree, "categoryId=2&page=1": {"products": [product("W-1")], **pages_of(2)}, "categoryId=2&page=2": {"products": [product("W-2")], **pages_of(2)}, "categoryId=4&page=1": {"products": [product("W-3")], **pages_of(9)}, "categoryId=4&page=2": {"products": [], **pages_of(9)}, "search=w1": {"products": [product("W-1"), product("W-12"), product("W 1", "t")]}, "search=W-1": {"products": [product("W-1")]}, "%2Fs": {"breadCrumbs": [{"text": "Home"}, {"text": "A"}, {"text": "B"}, {"text": "C"}, {"text": "D"}]}, "%2Ft": {}}
+    site = Site(**answers)
+    fetcher = site.fetcher()
+    assert site_api.is_api(fetcher, "") and not site_api.is_api(Site(websites=(404, "")).fetcher(), "") and not site_api.is_api(Site(websites=[[]]).fetcher(), "")
+    units, collect, searched = site_api.strategy(fetcher, "", None)
+    assert units == ["2", "4", "5"] and not searched
+    assert [(p["part_no"], p["category"], p["subcategory"], p["series"]) for p in collect("2")] == [("W-1", "A", "B", ""), ("W-2", "A", "B", "")]
+    assert [(p["part_no"], p["series"], p["attributes"]) for p in collect("4")] == [("W-3", "D", {"Bore": "1, 2"})]
+    units, collect, searched = site_api.strategy(fetcher, "", ["w1", "W-1"])
+    assert searched and units == ["w1", "W-1"]
+    assert [(p["part_no"], p["category"], p["series"]) for unit in units for p in collect(unit)] == [("W-1", "A", "C / D"), ("W 1", "", ""), ("W-1", "A", "C / D")]
+    assert site.asked.count("%2Fs") == 1
+    assert not site_api.strategy(fetcher, "", ["x"] * 501)[2] and not site_api.strategy(fetcher, "", ["x"], resumed=True)[2] and site_api.strategy(fetcher, "", ["x"] * 500)[2]
+
+
 def test_stream_takes_only_what_is_new(spark, tmp_path):
     source, root = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
     write = lambda name, doc, text: (source / name).write_text(json.dumps({"doc": doc, "page_no": 1, "text": text}) + "\n")
-    write("1.json", "d", "PART No.\nA-1\nA-2")
+    write("1.json", "d", "PART No.  Bore\nA-1 2\nA-2 3")
     query = incremental.collect_available(spark, str(source), root)
     assert query.lastProgress["batchId"] == 0
-    write("2.json", "e", "PART No.\nA-2\nA-3")
+    write("2.json", "e", "PART No.  Bore\nA-2 3\nA-3 4")
     incremental.collect_available(spark, str(source), root)
     assert sorted((r.part_no, r.doc) for r in incremental.catalog_version(spark, root, 1).collect()) == [("A-1", "d"), ("A-2", "d"), ("A-3", "e")]
     assert incremental.collect_available(spark, str(source), root).lastProgress is None or True
