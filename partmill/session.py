@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -18,13 +19,15 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a batch of long texts ends by its bytes
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 
 def get_spark(master: str = "local[*]", name: str = "partmill", **conf: str) -> SparkSession:
     """A session with the settings above; ``conf`` adds or overrides (dots written as ``__``)."""
     builder = SparkSession.builder.master(master).appName(name)
-    for key, value in {**RUNTIME, "spark.ui.enabled": "false", **{k.replace("__", "."): v for k, v in conf.items()}}.items():
+    for key, value in {**RUNTIME, "spark.ui.enabled": "false", "spark.cleaner.referenceTracking.cleanCheckpoints": "true", **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
@@ -53,11 +56,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the shared folder named by ``spark.checkpoint.dir``; sets a local one only where none is set (tests)."""
+    """Keeps the shared folder named by ``spark.checkpoint.dir``; sets a local one only where none is set and all executors
+    are in this process (tests).  On a cluster without a shared folder it is an error."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="partmill-checkpoint-"))
 
 
