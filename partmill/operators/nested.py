@@ -1,38 +1,23 @@
 """Deeply nested JSON into flat tables that keep the link from child to parent.
 
-Method: the schemas of all documents are merged; the merged schema says which array levels exist; each level is
-exploded into a child table that carries its parent's key (document id and path) and the ordinal in the array.
+Method: the merged schema of all documents is inferred level by level as a table of the fields that hold arrays of objects
+(``merged_levels``), from the members of the level above; each array level is exploded into a child table that carries
+its parent's key (document id and path) and the ordinal in the array, until a level is empty.  No field is named here but
+in ``NAMES``, which says what the levels of this catalog's payloads are called; records of any other shape are flattened
+by :func:`related` without it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partmill.functions.text import blank
 from partmill.session import durable
 
-
-@dataclass(frozen=True)
-class Level:
-    """An array of objects: its field, the kind and text field of its members, and the arrays inside each member."""
-
-    field: str
-    kind: str
-    text: str
-    children: tuple["Level", ...] = field(default=())
-    recursive: bool = False
-
-    def inner(self) -> tuple["Level", ...]:
-        return (*self.children, self) if self.recursive else self.children
-
-
-VALUES = Level("attributeValues", "value", "valueDisplay")
-ATTRIBUTES = Level("attributeTypes", "attribute", "label", (VALUES,))
-PRODUCTS = Level("products", "product", "productNumber", (ATTRIBUTES,))
-CATEGORIES = Level("subCategories", "category", "shortDescription", recursive=True)
+# Fixed values: (kind of the parent, field) -> (kind of its members, their text field).
+CATEGORY, PRODUCT, ATTRIBUTE, VALUE = ("category", "shortDescription"), ("product", "productNumber"), ("attribute", "label"), ("value", "valueDisplay")
+NAMES = {("categories", "categories"): CATEGORY, ("category", "subCategories"): CATEGORY, ("search", "products"): PRODUCT, ("product", "attributeTypes"): ATTRIBUTE, ("attribute", "attributeValues"): VALUE}
 
 
 def parsed(payloads: DataFrame, body: str = "body") -> DataFrame:
@@ -47,11 +32,6 @@ def parsed(payloads: DataFrame, body: str = "body") -> DataFrame:
     return payloads.withColumn("doc", doc).where(doc.isNotNull() & (F.size(F.try_variant_get(wrapped, "$", "array<variant>")) == 2))
 
 
-def merged_schema(docs: DataFrame) -> str:
-    """The schema of all documents (``item``) merged, as text; an aggregate over the documents."""
-    return docs.agg(F.schema_of_variant_agg("item").alias("s")).first()[0] or ""
-
-
 def members(value: Column) -> Column:
     """The members of an array; an object in place of an array is its only member; anything else has none."""
     kind = F.schema_of_variant(value)
@@ -62,45 +42,75 @@ def text_of(value: Column, name: str) -> Column:
     return blank(F.try_variant_get(value, f"$.{name}", "string"))
 
 
-def children(parents: DataFrame, level: Level) -> DataFrame:
-    """The child table of one array level: parent key, ordinal in the path, text and the member itself."""
-    inner = parents.select("payload_id", F.col("node_path").alias("parent_path"), F.posexplode(members(F.try_variant_get("item", f"$.{level.field}", "variant"))).alias("pos", "item"))
-    return inner.where(F.schema_of_variant("item").startswith("OBJECT")).select(
-        "payload_id",
-        F.lit(level.kind).alias("node_kind"),
-        "parent_path",
-        F.concat_ws(".", F.when(F.col("parent_path") != "", F.col("parent_path")), F.col("pos").cast("string")).alias("node_path"),
-        text_of(F.col("item"), level.text).alias("node_text"),
-        "item",
-    )
+def is_level(value: Column) -> Column:
+    """Whether a field's value is an array that may hold objects."""
+    return F.schema_of_variant(value).rlike(r"^ARRAY<(OBJECT|VARIANT)")
+
 
+def fields(parents: DataFrame) -> DataFrame:
+    """``parents`` with key, value for each field of their objects."""
+    return parents.lateralJoin(parents.sparkSession.tvf.variant_explode(F.col("item").outer())).drop("pos")
 
-def flatten(roots: DataFrame, level: Level, schema: str) -> DataFrame:
-    """All nodes below ``roots`` (payload_id, node_path, item), level by level, of the levels that the merged schema has.
 
-    Each level is materialised once in the shared checkpoint folder and read both for its rows and for the level
-    below; without that, level n would be exploded again n times.
+def merged_levels(nodes: DataFrame) -> DataFrame:
+    """kind, field, parents: the merged schema's array levels as a table: which fields of which kind of node hold them."""
+    return fields(nodes).where(is_level(F.col("value"))).groupBy("kind", F.col("key").alias("field")).agg(F.count("*").alias("parents"))
+
+
+def chosen(pairs: dict, value: int, otherwise: Column | None = None) -> Column:
+    """What ``pairs`` says about a node's kind and a field."""
+    out = F.when(F.lit(False), F.lit(""))
+    for (kind, field), to in pairs.items():
+        out = out.when((F.col("kind") == kind) & (F.col("key") == field), F.lit(to[value]))
+    return out if otherwise is None else out.otherwise(otherwise)
+
+
+def children(parents: DataFrame, names: dict | None = None) -> DataFrame:
+    """The child tables of all array levels of ``parents`` (payload_id, kind, node_path, names, item), one below the other:
+    each row has its parent's path, its own with the ordinal, its kind and text, and the texts from the root down.
+
+    With ``names`` only the levels named there are followed, an object in place of their array is its only member;
+    without, every array of objects is a level and its field is its members' kind.
+    """
+    found = fields(parents)
+    if names is None:
+        found = found.where(is_level(F.col("value"))).select("*", F.col("key").alias("child"), F.lit(None).cast("string").alias("text_field"))
+    else:
+        found = found.select("*", chosen(names, 0).alias("child"), chosen(names, 1).alias("text_field")).where("child is not null")
+    inner = found.select("payload_id", "child", "text_field", F.col("node_path").alias("parent_path"), F.col("names").alias("above"), F.posexplode(members(F.col("value"))).alias("pos", "item"))
+    inner = inner.where(F.schema_of_variant("item").startswith("OBJECT"))
+    text = F.lit("")
+    for name in sorted({t for _, t in (names or {}).values()}):
+        text = F.when(F.col("text_field") == name, text_of(F.col("item"), name)).otherwise(text)
+    path = F.concat_ws(".", F.when(F.col("parent_path") != "", F.col("parent_path")), F.col("pos").cast("string"))
+    placed = inner.select("payload_id", F.col("child").alias("kind"), "parent_path", path.alias("node_path"), text.alias("node_text"), "above", "item")
+    return placed.select("payload_id", "kind", "parent_path", "node_path", "node_text", F.concat("above", F.array("node_text")).alias("names"), "item")
+
+
+def related(roots: DataFrame, names: dict | None = None) -> DataFrame:
+    """All nodes below ``roots`` (payload_id, kind, node_path, item): payload_id, kind, parent_path, node_path, node_text,
+    names, item.
+
+    Each level is written once to the shared checkpoint folder and read both for its rows and for the level below; the
+    driver only asks whether a level is empty, so neither depth nor the number of fields is bounded by it.
     """
-    out = roots.where("false").select("payload_id", *[F.lit("").alias(c) for c in ("node_kind", "parent_path", "node_path", "node_text")])
-    frontier = [(roots, (level,))]
-    while frontier:
-        below = []
-        for parents, levels in frontier:
-            for inner in levels:
-                if not occurs(schema, inner.field):
-                    continue
-                table = durable(children(parents, inner))
-                out = out.unionByName(table.drop("item"))
-                if inner.inner() and not table.isEmpty():
-                    below.append((table, inner.inner()))
-        frontier = below
-    return out
-
-
-def occurs(schema: str, name: str) -> bool:
-    """Whether a field may occur in documents of a merged schema; where members differ in shape, the schema ends in
-    VARIANT and anything may lie below."""
-    return f"{name}:" in schema or f"`{name}`:" in schema or "VARIANT" in schema
+    level = roots.select("payload_id", "kind", "node_path", F.array().cast("array<string>").alias("names"), "item")
+    out = None
+    while True:
+        level = durable(children(level, names))
+        out = level if out is None else out.unionByName(level)
+        if level.isEmpty():
+            return out
+
+
+def payload_tree(payloads: DataFrame) -> DataFrame:
+    """payload_id, kind, parent_path, node_path, node_text, names, item of the nodes of each payload."""
+    docs = parsed(payloads).select("payload_id", F.col("kind").alias("of"), F.col("doc").alias("item")).where(F.schema_of_variant("item").startswith("OBJECT"))
+    detail = F.col("of") == "product_detail"
+    roots = docs.where(F.col("of").isin("categories", "search", "product_detail")).select("payload_id", F.when(detail, "product").otherwise(F.col("of")).alias("kind"), F.when(detail, "0").otherwise("").alias("node_path"), "item", detail.alias("is_node"))
+    roots = durable(roots)
+    products = roots.where("is_node").select("payload_id", "kind", F.lit("").alias("parent_path"), "node_path", text_of(F.col("item"), PRODUCT[1]).alias("node_text"), F.array(text_of(F.col("item"), PRODUCT[1])).alias("names"), "item")
+    return related(roots, NAMES).unionByName(products)
 
 
 def payload_nodes(payloads: DataFrame) -> DataFrame:
@@ -111,16 +121,4 @@ def payload_nodes(payloads: DataFrame) -> DataFrame:
     ``""``; null members and members that are no objects are no nodes but keep their place in the count.
     Repeated payload ids repeat their rows; further columns don't matter; an empty table gives an empty one.
     """
-    docs = durable(parsed(payloads).select("payload_id", "kind", F.col("doc").alias("item"), F.lit("").alias("node_path")))
-    schema = merged_schema(docs)
-    found = flatten_categories(docs.where("kind = 'categories'"), schema)
-    search = flatten(docs.where("kind = 'search'"), PRODUCTS, schema)
-    detail = docs.where("kind = 'product_detail'").where(F.schema_of_variant("item").startswith("OBJECT"))
-    root = detail.select("payload_id", F.lit("product").alias("node_kind"), F.lit("").alias("parent_path"), F.lit("0").alias("node_path"), text_of(F.col("item"), PRODUCTS.text).alias("node_text"), "item")
-    below = flatten(root, ATTRIBUTES, schema)
-    return found.unionByName(search).unionByName(root.drop("item")).unionByName(below)
-
-
-def flatten_categories(tree: DataFrame, schema: str) -> DataFrame:
-    """The category trees, of any depth: ``categories`` at the root, ``subCategories`` below."""
-    return flatten(tree, Level("categories", "category", "shortDescription", (CATEGORIES,)), schema)
+    return payload_tree(payloads).select("payload_id", F.col("kind").alias("node_kind"), "parent_path", "node_path", "node_text")

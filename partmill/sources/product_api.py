@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partmill.functions.text import blank
-from partmill.operators.nested import members, parsed, payload_nodes
+from partmill.operators.nested import members, parsed, payload_tree
 
 
 def is_product_api(doc: Column) -> Column:
@@ -42,12 +42,9 @@ def products(payloads: DataFrame) -> DataFrame:
 def category_leaves(payloads: DataFrame) -> DataFrame:
     """payload_id, node_path, names, category, subcategory, series: the categories without children of each tree, with
     the names from the root down."""
-    nodes = payload_nodes(payloads.where("kind = 'categories'"))
-    parents = nodes.select("payload_id", F.col("parent_path").alias("node_path")).where("node_path <> ''").distinct()
-    leaves = nodes.join(parents, ["payload_id", "node_path"], "left_anti").select("payload_id", F.col("node_path").alias("leaf"))
-    steps = F.split("leaf", r"\.")
-    above = leaves.select("payload_id", "leaf", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, F.lit(1), n), ".").alias("node_path")))).alias("s")).select("payload_id", "leaf", "s.*")
-    named = above.join(nodes.select("payload_id", "node_path", "node_text"), ["payload_id", "node_path"])
-    names = named.groupBy("payload_id", "leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "node_text"))), lambda x: x["node_text"]).alias("names"))
+    nodes = payload_tree(payloads.where("kind = 'categories'"))
+    # the names come down with the tree, and a node knows its children, so nothing is joined back
+    below = F.coalesce(members(F.try_variant_get("item", "$.subCategories", "variant")), F.array().cast("array<variant>"))
+    leaves = nodes.where(~F.exists(below, lambda x: F.schema_of_variant(x).startswith("OBJECT")))
     category, subcategory, series = breadcrumb_parts(F.col("names"))
-    return names.select("payload_id", F.col("leaf").alias("node_path"), "names", category.alias("category"), subcategory.alias("subcategory"), series.alias("series"))
+    return leaves.select("payload_id", "node_path", "names", category.alias("category"), subcategory.alias("subcategory"), series.alias("series"))
