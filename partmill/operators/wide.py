@@ -1,9 +1,10 @@
 """Attribute-value rows into wide tables with typed columns.
 
-Method: the rows are reduced to one usable value for each entity and attribute; the entities are left joined with
-their values; the entity-by-attribute grid is completed as an array sorted by attribute position for each entity, and
-fixed indices of the array are projected through a try cast of the column's type.  The grid is completed within the
-row of its entity, so it is never shuffled: one shuffle by entity serves the join and the arrays.
+Method: the rows are reduced to one usable value for each entity and attribute; the entity-by-attribute grid is
+completed, with the values left in their places, as an array sorted by attribute position for each entity, and fixed
+indices of the array are projected through a try cast of the column's type.  The grid is completed within the row of
+its entity, so it is never shuffled, and an entity without usable values keeps a row of its own in the same reduction, so
+the rows are read once.
 """
 
 from __future__ import annotations
@@ -34,11 +35,16 @@ def attribute_columns(defs: DataFrame, most: int = 2000) -> list[dict]:
     return out
 
 
+#: Labels of all definitions up to which they are broadcast.
+MOST_LABELS = 100_000
+
+
 def label_positions(spark, columns: list[dict]) -> DataFrame:
-    """label_key, attr_pos: the definitions as a table (bounded by the definitions, so it may be broadcast)."""
+    """label_key, attr_pos: the labels of the definitions as a table, marked for a broadcast if they are few."""
     rows = [(label, pos) for pos, c in enumerate(columns) for label in c["labels"]]
     labels = spark.createDataFrame(rows, "label string, attr_pos int")
-    return labels.select(letters_digits(F.col("label")).alias("label_key"), "attr_pos").where("label_key <> ''").groupBy("label_key").agg(F.min("attr_pos").alias("attr_pos"))
+    keyed = labels.select(letters_digits(F.col("label")).alias("label_key"), "attr_pos").where("label_key <> ''").groupBy("label_key").agg(F.min("attr_pos").alias("attr_pos"))
+    return F.broadcast(keyed) if len(rows) <= MOST_LABELS else keyed
 
 
 def typed_text(value: Column, columns: list[dict]) -> Column:
@@ -55,21 +61,26 @@ def typed_text(value: Column, columns: list[dict]) -> Column:
     return case if case is not None else F.lit(None).cast("string")
 
 
+#: Stands for no attribute, in the row that keeps an entity without usable values.
+NO_ATTRIBUTE = -1
+
+
 def usable_values(rows: DataFrame, columns: list[dict]) -> DataFrame:
-    """entity_key, attr_pos, cell of the row that counts: latest ``loaded_at``, then largest ``row_id``, then value.
+    """entity_key, attr_pos, cell of the row that counts: latest ``loaded_at``, then largest ``row_id``, then value; and
+    one row with ``NO_ATTRIBUTE`` for an entity's rows that state nothing usable.
 
-    rows: entity_key, label, value, loaded_at, row_id.  The reduction is a partially aggregated ``max``, so an entity
-    or label that holds a third of all rows is reduced before the shuffle.
+    rows: entity_key, label, value, loaded_at, row_id, read once.  The reduction is a partially aggregated ``max``, so an
+    entity or label that holds a third of all rows is reduced before the shuffle.
     """
-    spark = rows.sparkSession
     found = (
         rows.select("entity_key", letters_digits(F.col("label")).alias("label_key"), "value", "loaded_at", "row_id")
-        .join(F.broadcast(label_positions(spark, columns)), "label_key")
-        # exploding a one-member array keeps the filter above it, so the reading is done once for each row
-        .withColumn("cell", F.explode(F.array(typed_text(F.col("value"), columns))))
-        .where(F.col("cell").isNotNull())
+        .join(label_positions(rows.sparkSession, columns), "label_key", "left")
+        # a member of an array made once, so that the reading is done once for each row
+        .withColumn("cell", F.explode_outer(F.array(typed_text(F.col("value"), columns))))
     )
-    return found.groupBy("entity_key", "attr_pos").agg(F.max(F.struct("loaded_at", "row_id", "cell")).alias("best")).select("entity_key", "attr_pos", F.col("best.cell").alias("cell"))
+    usable = F.col("cell").isNotNull()
+    place = F.when(usable, F.col("attr_pos")).otherwise(NO_ATTRIBUTE)
+    return found.groupBy("entity_key", place.alias("attr_pos")).agg(F.max(F.when(usable, F.struct("loaded_at", "row_id", "cell"))).alias("best")).select("entity_key", "attr_pos", F.col("best.cell").alias("cell"))
 
 
 def wide_table(rows: DataFrame, defs: DataFrame) -> DataFrame:
@@ -82,9 +93,10 @@ def wide_table(rows: DataFrame, defs: DataFrame) -> DataFrame:
     columns = attribute_columns(defs)
     rows = rows.withColumn("entity_key", blank(F.col("entity_key")))
     # at most one value for each attribute, so the lists are bounded by the definitions
-    values = usable_values(rows, columns).groupBy("entity_key").agg(F.map_from_entries(F.collect_list(F.struct("attr_pos", "cell"))).alias("by_pos"))
+    lists = usable_values(rows, columns).groupBy("entity_key").agg(F.collect_list(F.when(F.col("attr_pos") != NO_ATTRIBUTE, F.struct("attr_pos", "cell"))).alias("filled"))
     grid = F.sequence(F.lit(0), F.lit(max(0, len(columns) - 1)))
-    cells = rows.select("entity_key").distinct().join(values, "entity_key", "left").select("entity_key", F.transform(grid, lambda pos: F.try_element_at("by_pos", pos)).alias("cells"))
+    empty = F.transform(F.array_except(grid, F.col("filled.attr_pos")), lambda pos: F.struct(pos.alias("attr_pos"), F.lit(None).cast("string").alias("cell")))
+    cells = lists.select("entity_key", F.transform(F.array_sort(F.concat("filled", empty)), lambda x: x["cell"]).alias("cells"))
     wide = []
     for pos, column in enumerate(columns):
         cell = F.get(F.col("cells"), F.lit(pos))

@@ -5,6 +5,7 @@ import random
 from fractions import Fraction
 
 import pytest
+from partmill import session
 from partmill.functions.quantities import SYMBOLS, Reader, base_value, known_units
 from partmill.operators import nested, snapshots, units, wide
 from pyspark.sql import functions as F
@@ -181,3 +182,38 @@ def test_snapshot_changes(spark, rows):
     table = spark.createDataFrame(parts, PART_T)
     assert rows(snapshots.snapshot_changes(snaps, table)) == sorted([(2, "", "removed"), (2, "C", "changed"), (2, "D", "added"), (2, "E", "changed"), (5, "Q", "removed"), (6, "A", "removed"), (6, "B", "removed"), (6, "C", "removed"), (6, "D", "removed"), (6, "E", "removed")], key=repr)
     assert snapshots.snapshot_changes(snaps, table.limit(0)).count() == 0 and snapshots.snapshot_changes(snaps.limit(0), table).count() == 0
+
+
+def test_related_tables_of_any_shape(spark, rows):
+    deep = '{"leaf": [{"n": 1}]}'
+    for i in range(12):
+        deep = '{"l%d": [%s]}' % (i, deep)
+    bodies = [(1, '{"orders": [{"lines": [{"sku": "a", "tags": ["x"]}, {"sku": "b", "parts": [{"id": 1}]}]}, {"lines": []}], "owner": {"name": "n"}, "notes": [null, {"t": 1}, 2], "m": [[{"z": 1}]]}'), (2, deep), (3, '{"orders": {"lines": [{"sku": "c"}]}}'), (4, "{}")]
+    docs = spark.createDataFrame(bodies, "payload_id long, body string")
+    roots = docs.select("payload_id", F.lit("doc").alias("kind"), F.lit("").alias("node_path"), F.parse_json("body").alias("item"))
+    found = nested.related(roots)
+    assert rows(found.where("payload_id in (1, 3)").select("kind", "parent_path", "node_path")) == sorted([("orders", "", "0"), ("orders", "", "1"), ("lines", "0", "0.0"), ("lines", "0", "0.1"), ("parts", "0.1", "0.1.0"), ("notes", "", "1")], key=repr)
+    assert found.where("payload_id = 2").count() == 13 and found.where("kind = 'leaf'").first().node_path == ".".join("0" * 13)
+    assert rows(nested.merged_levels(roots)) == sorted([("doc", "orders", 1), ("doc", "notes", 1), ("doc", "l11", 1)], key=repr)
+    assert nested.related(roots.limit(0)).count() == 0
+
+
+def test_wide_table_beyond_the_broadcast(spark, defs, monkeypatch):
+    found = [("a", "Pack Qty", "5", T, 1, 0, ""), ("b", "?", "1", T, 2, 0, ""), ("b", None, None, None, None, 0, ""), ("a", "List Price", "2,5", T, 3, 0, "")]
+    few = cells(spark, defs, found)
+    monkeypatch.setattr(wide, "MOST_LABELS", 0)
+    assert cells(spark, defs, found) == few == [("a", "pack", "5"), ("a", "price", "2.500")]
+    assert wide.wide_table(wide.detail_rows(spark.createDataFrame(found, DETAIL_T)), defs).count() == 2
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": lambda self, key, default: default})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
