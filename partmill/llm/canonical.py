@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,8 +23,9 @@ from partmill.llm.slips import deletions, distance
 from partmill.session import durable
 
 MOST_SLIPS = 2
-#: Terms of the vocabulary up to which its index is sent to every worker; beyond, the join is a shuffle.
-MOST_SENT = 200_000
+#: Forms of the vocabulary's terms up to which its index is built in every worker (about 400 bytes each); beyond, the join
+#: is a shuffle.  And words of the list up to which their weights are sent; beyond, they are joined.
+MOST_SENT, MOST_WORDS = 1_000_000, 200_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -81,12 +82,14 @@ def repaired(tokens: DataFrame, terms: DataFrame, most: int = MOST_SLIPS, sent:
     """run, term, role, slips: every term at most ``most`` slips from a run.
 
     Two words so near share a form with up to ``most`` characters dropped, so the join is an equi-join on these forms
-    and loses none.  The index of a vocabulary of at most ``sent`` terms goes to every worker, which looks the forms up;
+    and loses none.  The index of a vocabulary of at most ``sent`` forms goes to every worker, which looks them up;
     beyond that both sides' forms are exploded and shuffled.
     """
-    listed = terms.limit(sent + 1).collect()
-    if len(listed) <= sent:
-        vocab = [(t.term, t.role) for t in listed]
+    length = F.length("term")
+    forms_of = [F.lit(1), length, length * (length - 1) / 2][: most + 1]
+    count = terms.agg(F.sum(sum(forms_of[1:], forms_of[0]))).first()[0] or 0
+    if count <= sent:
+        vocab = [(t.term, t.role) for t in terms.collect()]
 
         def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index, roles, lengths = term_index(tuple(sorted(vocab)), most)
@@ -129,7 +132,7 @@ def complete_entries(found: DataFrame, refs: DataFrame, most: int = MOST_SLIPS)
     found: raw, run, term, role, slips.  Only the least slips of each term of a text count, so a text of any length
     has at most one row for each term.
     """
-    normal = F.udf(lambda x: "".join(words_of(x)), "string")
+    normal = F.pandas_udf(lambda s: s.map(lambda x: "".join(words_of(x))), "string")
     items = refs.select("ref_no", normal("ref_no").alias("number"), normal("brand").alias("brand"), normal("series").alias("series"))
     best = found.groupBy("raw", "term", "role").agg(F.min(F.struct("slips", "run")).alias("b")).select("raw", "term", "role", "b.slips", "b.run")
     by_number = best.where("role = 'number'").join(items, F.col("term") == F.col("number")).select("raw", "ref_no", "slips")
@@ -139,11 +142,15 @@ def complete_entries(found: DataFrame, refs: DataFrame, most: int = MOST_SLIPS)
     return by_number.unionByName(by_name).groupBy("raw", "ref_no").agg(F.min("slips").alias("slips"))
 
 
+def word_lists(*columns: str) -> Column:
+    """The distinct words of some texts, in Arrow batches."""
+    return F.pandas_udf(lambda *texts: pd.Series([sorted({w for t in row for w in words_of(t)}) for row in zip(*texts)]), "array<string>")(*columns)
+
+
 def word_weights(refs: DataFrame) -> DataFrame:
     """word, weight: inverse document frequency over the list's titles and numbers."""
-    words = F.udf(lambda *x: sorted({w for t in x for w in words_of(t)}), "array<string>")
     n = refs.count()
-    return refs.select(F.explode(words("ref_no", "brand", "series", "title")).alias("word")).groupBy("word").agg((F.log(F.lit(float(n + 1)) / F.count("*")) + 1).alias("weight"))
+    return refs.select(F.explode(word_lists("ref_no", "brand", "series", "title")).alias("word")).groupBy("word").agg((F.log(F.lit(float(n + 1)) / F.count("*")) + 1).alias("weight"))
 
 
 def soft_tfidf(a: list[str], b: list[str], weight: dict[str, float], unknown: float) -> float:
@@ -160,7 +167,7 @@ def soft_tfidf(a: list[str], b: list[str], weight: dict[str, float], unknown: fl
     return total / math.sqrt(sum(w(x) ** 2 for x in set(a)) * sum(w(y) ** 2 for y in set(b)))
 
 
-def ranked(candidates: DataFrame, refs: DataFrame, weights: DataFrame, sent: int = MOST_SENT) -> DataFrame:
+def ranked(candidates: DataFrame, refs: DataFrame, weights: DataFrame, sent: int = MOST_WORDS) -> DataFrame:
     """raw, ref_no, slips, score of the candidates that come first for their text: fewest slips, then best soft TF-IDF.
 
     Items that are equal after normalisation tie and all stay, but for texts that hold one of their numbers verbatim.
@@ -185,8 +192,7 @@ def ranked(candidates: DataFrame, refs: DataFrame, weights: DataFrame, sent: int
         titled = titled.withColumns({"words": F.lit(None).cast("array<string>"), "weighed": F.lit(None).cast("array<double>")})
     else:
         # beyond the bound each candidate gets the weights of its own words by a join
-        split = F.udf(lambda *x: sorted({w for t in x for w in words_of(t)}), "array<string>")
-        own = titled.select("raw", "ref_no", F.explode(split("raw", "ref_no", "title")).alias("word")).join(weights, "word")
+        own = titled.select("raw", "ref_no", F.explode(word_lists("raw", "ref_no", "title")).alias("word")).join(weights, "word")
         own = own.groupBy("raw", "ref_no").agg(F.collect_list(F.struct("word", "weight")).alias("own")).select("raw", "ref_no", F.col("own.word").alias("words"), F.col("own.weight").alias("weighed"))
         titled = titled.join(own, ["raw", "ref_no"], "left")
     rated = titled.withColumn("r", rate("raw", "ref_no", "title", "words", "weighed")).select("raw", "ref_no", "slips", "r.*")
@@ -209,11 +215,11 @@ def matches(entries: DataFrame, refs: DataFrame, most: int = MOST_SLIPS, sent: i
     terms = durable(vocabulary(refs))
     bounds = terms.agg(F.min(F.length("term")), F.max(F.length("term"))).first()
     shortest, longest = max(1, (bounds[0] or 1) - most), (bounds[1] or 0) + most
-    texts = durable(runs(wanted.select("raw").distinct(), shortest, longest))
-    # few bytes but much work for each run: as many tasks as cores, not as few as the bytes would need
+    # few bytes but much work for each text: as many tasks as cores, not as few as the bytes would need
     spark = entries.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = durable(runs(wanted.select("raw").distinct().repartition(tasks, "raw"), shortest, longest))
     repairs = durable(repaired(texts.select("run").distinct().repartition(tasks, "run"), terms, most, sent))
     candidates = complete_entries(texts.join(repairs, "run"), refs, most)
-    best = ranked(durable(candidates), refs, word_weights(refs), sent)
+    best = ranked(durable(candidates.repartition(tasks, "raw")), refs, word_weights(refs), min(sent, MOST_WORDS))
     return wanted.join(best.select("raw", "ref_no"), "raw", "left").select("entry_id", blank(F.col("ref_no")).alias("ref_no")).distinct()
