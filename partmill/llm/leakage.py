@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partmill.session import durable
+
 WORD = re.compile(r"[^\W_]+")
 RUN, SHINGLE = 12, 5
 #: Distinct MinHash values of the query side up to which they are sent to every worker (8 bytes each).
@@ -83,31 +85,38 @@ def windows(texts: DataFrame, run: int = RUN) -> DataFrame:
     return texts.mapInPandas(read, WINDOWS)
 
 
+def document_minima(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """id, minhash: the distinct MinHash values of each document's windows, without their texts."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            minima = [np.unique(window_minima(words_of(text), run)) for text in pdf["text"]]
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(np.int64), [len(m) for m in minima]), "minhash": np.concatenate([np.zeros(0, np.int64), *minima])})
+
+    return docs.mapInPandas(read, "id long, minhash long")
+
+
 def candidate_windows(docs: DataFrame, wanted: np.ndarray | None, run: int = RUN) -> DataFrame:
-    """Windows of the documents whose MinHash is among ``wanted`` (sorted); all windows if it is None.
+    """Windows of the documents whose MinHash is among ``wanted`` (sorted) or, if that is None, among the document's own
+    ``wanted`` column.
 
     Documents of fewer than ``run`` words are a size class that can't contain a window and end here.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, minima, found = [], [], []
-            for key, text in zip(pdf["id"], pdf["text"]):
+            keys, found = [], []
+            for key, text, own in zip(pdf["id"], pdf["text"], pdf["wanted"]):
                 words = words_of(text)
                 low = window_minima(words, run)
-                if wanted is not None and len(low):
-                    at = np.searchsorted(wanted, low)
-                    at[at == len(wanted)] = 0
-                    hits = np.flatnonzero(wanted[at] == low) if len(wanted) else []
-                else:
-                    hits = range(len(low))
-                for i in hits:
+                for i in np.flatnonzero(np.isin(low, wanted if wanted is not None else np.asarray(own, np.int64))):
                     keys.append(key)
-                    minima.append(int(low[i]))
                     found.append(" ".join(words[i : i + run]))
-            yield pd.DataFrame({"id": pd.Series(keys, dtype="int64"), "minhash": pd.Series(minima, dtype="int64"), "window": pd.Series(found, dtype="object")})
+            yield pd.DataFrame({"id": pd.Series(keys, dtype="int64"), "window": pd.Series(found, dtype="object")})
 
-    return docs.mapInPandas(read, WINDOWS)
+    if wanted is not None:
+        docs = docs.withColumn("wanted", F.lit(None).cast("array<long>"))
+    return docs.select("id", "text", "wanted").mapInPandas(read, "id long, window string")
 
 
 def contained(docs: DataFrame, items: DataFrame, run: int = RUN, most: int = MOST_SENT) -> DataFrame:
@@ -115,17 +124,20 @@ def contained(docs: DataFrame, items: DataFrame, run: int = RUN, most: int = MOS
 
     docs: doc_id, text; items: item_id, text.  Null, empty and short texts have no windows; repeated rows give their
     pair once; texts may be of any length; further columns don't matter; empty tables give an empty result.
-    The items' MinHash values are sent to the workers while there are at most ``most`` of them; beyond that, windows
-    of documents are joined with them by a shuffle, with the same result.
+    The items' MinHash values are sent to the workers while there are at most ``most`` of them; beyond that, the values
+    of the documents' windows, 8 bytes each, are joined with them first, and only the windows that match are read again.
+    The items' windows are broadcast for the verification only if their rows, not just their values, are few.
     """
-    queries = windows(items.select(F.col("item_id").alias("id"), "text").where("text is not null"), run)
+    queries = durable(windows(items.select(F.col("item_id").alias("id"), "text").where("text is not null"), run))
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null")
     distinct = queries.select("minhash").distinct()
     sent = distinct.limit(most + 1).toPandas()["minhash"].to_numpy()
-    few = len(sent) <= most
-    found = candidate_windows(texts, np.sort(sent) if few else None, run).select(F.col("id").alias("doc_id"), "minhash", "window")
-    if not few:
-        found = found.join(distinct, "minhash", "left_semi")
+    if len(sent) <= most:
+        found = candidate_windows(texts, np.sort(sent), run)
+    else:
+        hits = document_minima(texts, run).join(distinct, "minhash", "left_semi").groupBy("id").agg(F.collect_set("minhash").alias("wanted"))
+        found = candidate_windows(texts.join(hits, "id"), None, run)
+    # verified by the exact words
     side = queries.select(F.col("id").alias("item_id"), "window")
-    # verified by the exact words; a broadcast only behind the same bound
-    return found.select("doc_id", "window").join(F.broadcast(side) if few and len(sent) <= most // 20 else side, "window").select("doc_id", "item_id").distinct()
+    side = F.broadcast(side) if side.limit(most // 20 + 1).count() <= most // 20 else side
+    return found.select(F.col("id").alias("doc_id"), "window").join(side, "window").select("doc_id", "item_id").distinct()
