@@ -142,13 +142,19 @@ def weak_names(text: str) -> set[str]:
     return {next(g for g in m.groups() if g).lower() for m in WEAK.finditer(text)} if any(c in text for c in "{}[]<>%@") else set()
 
 
-def page(text: str) -> tuple[bool, list[str]]:
+def page(text: str, catalog: bool = False) -> tuple[bool, list[str]]:
     """(whether the page has nothing but segments of known residue wording beside headings, navigation and copyright lines,
-    its segments beside these)."""
-    kinds = [(segment, kind_of(segment, whole)) for segment, whole in segments(text)]
-    content = [s for s, kind in kinds if kind != "beside"]
+    its segments beside these; none of a page with catalog values that has other segments)."""
+    content, wording = [], True
+    for segment, whole in segments(text):
+        kind = kind_of(segment, whole)
+        wording &= kind != "content"
+        if catalog and not wording:
+            return False, []
+        if kind != "beside":
+            content.append(segment)
     words = [w for s in content for w in re.findall(r"[^\W_]+", s.lower())]
-    return bool(content) and (all(kind != "content" for _, kind in kinds) or is_filler(words)), content
+    return bool(content) and (wording or is_filler(words)), content
 
 
 def signs(docs: DataFrame) -> DataFrame:
@@ -160,13 +166,12 @@ def signs(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for doc_id, text, catalog in zip(pdf["doc_id"], pdf["text"], pdf["catalog"]):
-                wording, content = page(text)
+                wording, kept = page(text, catalog)
                 parts = {}
                 for segment, _ in segments(text):
                     form, empty = slots.template_of(segment)
                     if form:
                         parts.setdefault((form, tuple(empty)), {"template": form, "empty": empty})
-                kept = [] if catalog and not wording else content
                 out.append((doc_id, sorted(strong_names(text)), sorted(weak_names(text)), wording, "\n".join(kept), "\n".join(slots.template_of(s)[0] for s in kept), list(parts.values())))
             yield pd.DataFrame(out, columns=["doc_id", "strong", "weak", "wording", "content", "page", "parts"], dtype=object)
 
