@@ -96,6 +96,14 @@ def document_minima(docs: DataFrame, run: int = RUN) -> DataFrame:
     return docs.mapInPandas(read, "id long, minhash long")
 
 
+def positions_of(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Where ``values`` are among the sorted ``ordered``, by binary search."""
+    if not len(values) or not len(ordered):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return np.flatnonzero(ordered[at] == values)
+
+
 def candidate_windows(docs: DataFrame, wanted: np.ndarray | None, run: int = RUN) -> DataFrame:
     """Windows of the documents whose MinHash is among ``wanted`` (sorted) or, if that is None, among the document's own
     ``wanted`` column.
@@ -109,7 +117,7 @@ def candidate_windows(docs: DataFrame, wanted: np.ndarray | None, run: int = RUN
             for key, text, own in zip(pdf["id"], pdf["text"], pdf["wanted"]):
                 words = words_of(text)
                 low = window_minima(words, run)
-                for i in np.flatnonzero(np.isin(low, wanted if wanted is not None else np.asarray(own, np.int64))):
+                for i in positions_of(low, wanted if wanted is not None else np.sort(np.asarray(own, np.int64))):
                     keys.append(key)
                     found.append(" ".join(words[i : i + run]))
             yield pd.DataFrame({"id": pd.Series(keys, dtype="int64"), "window": pd.Series(found, dtype="object")})
