@@ -8,16 +8,19 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partmill.errors import WebError
 from partmill.functions import keys, urls
 from partmill.functions.text import blank, squash
 from partmill.operators import catalog, match, merge, pages
+from partmill.plans import runs
+from partmill.sources import config, html, product_api, store, xlsx
 from partmill.sources import enumerate as site_urls
-from partmill.sources import html, product_api, store, xlsx
-from partmill.streaming import incremental
 from partmill.session import configure, ensure_checkpoint_dir
+from partmill.streaming import incremental
 
 QUERIES, ORACLE = {}, {}
 
@@ -525,3 +528,70 @@ def workbook_roundtrip(spark, sf_dir):
 def windowed_events(spark, sf_dir):
     counts = incremental.windowed_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return counts.withColumn("value", F.round("value", 3)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# ---- whole runs -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SECTION_SQL}, {PLACED_SQL} SELECT row_number() OVER (ORDER BY p_partkey) AS sequence, p_brand || '-' || p_partkey AS part_no, coalesce(category, '') AS category, 'CATALOG PARTS' AS subcategory, 'CATALOG PARTS' AS series, 'Type: ' || p_type || ', Size: ' || p_size AS description FROM part JOIN placed ON page_no = p_partkey // {PER_PAGE} + 1")
+def page_run_catalog(spark, sf_dir):
+    """A run over the catalog's pages with its sections, stored, and read back by a second run from the snapshot."""
+    box = store.Store(spark, shared_folder(spark, "pages"))
+    catalog_text = catalog_pages(spark, sf_dir).select("page_no", F.when(F.col("page_no") == 1, F.concat("text", F.lit("\n\nTABLE OF CONTENTS"))).otherwise(F.col("text")).alias("text"))
+    read = lambda: runs.run_pages(spark, box, "catalog", catalog_text, sections_of=lambda text, total: SECTIONS)
+    read()
+    again = read()
+    return again.parts.where(F.lit(again.cache_hit)).select("sequence", "part_no", "category", "subcategory", "series", "description")
+
+
+@query("SELECT 'N-' || n_nationkey AS part_no, r_name AS category, n_name AS subcategory, true AS resumed FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'shared', (SELECT r_name FROM region ORDER BY r_regionkey LIMIT 1), '', true")
+def site_run_parts(spark, sf_dir):
+    """A run over regions as a site's units that fails at the third, and the run that resumes it."""
+    box, failed = store.Store(spark, shared_folder(spark, "site")), []
+    rows = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_regionkey", "r_name", "n_nationkey", "n_name").orderBy("n_nationkey").collect()  # a fixed table of 25 rows
+    units = [str(k) for k in sorted({r.n_regionkey for r in rows})]
+
+    def collect(unit: str) -> list[dict]:
+        if unit == "2" and not failed:
+            failed.append(unit)
+            raise WebError("gone")
+        own = [r for r in rows if str(r.n_regionkey) == unit]
+        return [{"part_no": f"N-{r.n_nationkey}", "category": r.r_name, "subcategory": r.n_name} for r in own] + [{"part_no": "shared", "category": own[0].r_name}]
+
+    first = runs.run_units(spark, box, "www.site.example", units, collect)
+    second = runs.run_units(spark, box, "site.example", units, collect)
+    return second.parts.select("part_no", "category", "subcategory", F.lit(first.stopped_early and not second.stopped_early).alias("resumed"))
+
+
+@query("SELECT p_partkey, p_partkey % 6 AS problems FROM part WHERE p_partkey % 6 > 0")
+def config_problems(spark, sf_dir):
+    """How many things are wrong with configurations that lack or spoil more and more fields."""
+    steps = [lambda c: c["selectors"].pop("part_no"), lambda c: c["selectors"].update(attributes={"row": "tr"}), lambda c: c["enumeration"].update(start_urls=[]), lambda c: c["enumeration"].update(product_link_pattern="("), lambda c: c["enumeration"].update(category_link_pattern="[")]
+
+    def count(wanted: pd.Series) -> pd.Series:
+        def wrong(n: int) -> int:
+            values = {"platform": "generic", "enumeration": {"strategy": "category_crawl", "start_urls": ["u"], "product_link_pattern": "/p/"}, "selectors": {"part_no": ".sku"}, "not_known": 1}
+            for step in steps[:n]:
+                step(values)
+            return len(config.problems(config.SiteConfig.from_dict(values)))
+
+        return wanted.map(wrong)
+
+    found = table(spark, sf_dir, "part").select("p_partkey", F.pandas_udf(count, "bigint")((F.col("p_partkey") % 6).cast("int")).alias("problems"))
+    return found.where("problems > 0")
+
+
+@query("SELECT attr_code AS part_no, display_label AS description, value_type AS kind FROM attribute_defs")
+def written_workbook(spark, sf_dir):
+    """The attribute definitions written as a catalog workbook with a column for an attribute, and its rows read back."""
+    defs = table(spark, sf_dir, "attribute_defs")
+    blanks = [F.lit("").alias(c) for c in ("category", "subcategory", "series")]
+    parts = defs.select(F.col("attr_code").alias("part_no"), *blanks, F.col("display_label").alias("description"), F.create_map(F.lit("Kind"), F.col("value_type")).alias("attributes"), F.hash("attr_code").cast("long").alias("pos"))
+    folder = tempfile.mkdtemp(prefix="partmill-workbook-")  # the driver's own, for the one file it writes and reads
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = xlsx.output_path(Path(folder), "definitions")
+    xlsx.write_workbook(path, parts, "web")
+    (_, header), *rows = xlsx.read_rows(path)
+    at = {name: place for place, name in header.items()}
+    places = [at[xlsx.WEB_COLUMNS[0]], at[xlsx.WEB_COLUMNS[4]], at["Kind"]]
+    return spark.createDataFrame([tuple(str(row.get(i) or "") for i in places) for _, row in rows], "part_no string, description string, kind string")

@@ -7,7 +7,7 @@ from partmill.errors import LLMError, OutputError, PdfError, WebError
 from partmill.functions import keys, urls
 from partmill.operators import catalog, match, merge, pages
 from partmill.plans import runs
-from partmill.sources import config, enumerate as site_urls, fetch, html, product_api, site_api, store, xlsx
+from partmill.sources import config, discovery, documents, enumerate as site_urls, fetch, html, models, product_api, site_api, store, xlsx
 from partmill.sources.config import SiteConfig
 from partmill.streaming import incremental
 from pyspark.sql import functions as F
@@ -333,6 +333,69 @@ def test_site_api():
     assert not site_api.strategy(fetcher, "", ["x"] * 501)[2] and not site_api.strategy(fetcher, "", ["x"], resumed=True)[2] and site_api.strategy(fetcher, "", ["x"] * 500)[2]
 
 
+class Scripted:
+    """A model that gives prepared answers in turn."""
+
+    def __init__(self, *answers):
+        self.answers, self.asked = list(answers), []
+
+    def ask(self, task, content, tokens=4096):
+        self.asked.append((task, content))
+        return self.answers.pop(0)
+
+
+def test_models_are_read_tolerantly():
+    assert models.TextModel(lambda *x: '{"a": 1}').ask("t", "c") == {"a": 1}
+    for answer in ("no json", None):
+        with pytest.raises(LLMError, match="JSON"):
+            models.TextModel(lambda *x: answer).ask("t", "c")
+    with pytest.raises(LLMError, match="reached"):
+        models.TextModel(lambda *x: 1 / 0).ask("t", "c")
+    listed = {"sections": [{"name": "S", "category": None, "start_page": "2", "end_page": None}, 7, {"start_page": "x"}]}
+    assert models.sections_of(Scripted(listed))("text", 9) == [(0, "S", "", "2", None), (2, "", "", "x", None)]
+    for answer in ({}, {"sections": {}}, []):
+        with pytest.raises(PdfError):
+            models.sections_of(Scripted(answer))("text", 9)
+    assert models.extractor_of(Scripted({"parts": "none", "skip_reason": "cover"}))("t", 1, "") == {"subcategory": None, "parts": [], "skip_reason": "cover"}
+
+
+def test_documents_are_scanned(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one\x0ctwo")
+    (tmp_path / "b.pdf").write_bytes(b"!")
+
+    def texts_of(content):
+        if content == b"!":
+            raise ValueError("damaged")
+        return [t.decode() or None for t in content.split(b"\x0c")]
+
+    found = documents.document_pages(spark, str(tmp_path), texts_of).orderBy("path", "page_no").collect()
+    assert [(r.page_no, r.text, r.error) for r in found] == [(1, "one", None), (2, "two", None), (0, None, documents.UNREADABLE)]
+
+
+def test_site_configuration_is_discovered():
+    page = "<h1 class=sku>{}</h1><p>text</p>"
+    urls = {"product_url_example": "b/i/1", "product_url_pattern": "/i/", "strategy": "sitemap"}
+    selectors = {"part_no": ".sku", "breadcrumb": None, "attributes": None}
+    site = lambda **more: Site(**{"websites": (404, ""), "sitemap.xml": (404, ""), "robots.txt": (200, "Sitemap: b/s.xml"), "s.xml": (200, "<urlset>"), **more, "b/i/": (200, page.format("W-1")), "b": (200, "home")})
+    links, saved = lambda config: (f"b/i/{n}" for n in range(9)), []
+    run = lambda at, model, stored=None, confirm=lambda parts: len(parts) == 5: discovery.site_config(at.fetcher(), "b", stored, lambda: model, links, confirm, saved.append)
+    at = site()
+    found = run(at, Scripted(urls, selectors))
+    assert found.enumeration == {"strategy": "sitemap", "sitemap_url": "b/s.xml", "product_url_pattern": "/i/"} and saved == [found.to_dict()] and found.probe == {"url": "b/i/0", "part_no": "W-1"}
+    assert at.asked.count("b/i/") == 6
+    assert run(at, Scripted(), found.to_dict()) == found
+    moved = run(at, Scripted({**urls, "strategy": "category_crawl", "pagination_param": "p"}, selectors), {**found.to_dict(), "probe": {"url": "b/i/0", "part_no": "other"}})
+    assert moved.enumeration == {"strategy": "category_crawl", "start_urls": ["b"], "product_link_pattern": "/i/", "pagination_param": "p"}
+    assert run(site(websites={"id": 1}), Scripted()).platform == "api"
+    again = Scripted(urls, {"part_no": ".none"}, urls, selectors)
+    assert run(site(), again).selectors == selectors and not again.answers
+    for model, confirm, words in ((Scripted(urls, {"part_no": ".none"}, urls, {"part_no": ".none"}), lambda parts: True, "reliably"), (Scripted(urls, selectors), lambda parts: False, "confirmed"), (Scripted({**urls, "product_url_pattern": "("}, selectors), lambda parts: True, "understood")):
+        with pytest.raises(WebError, match=words):
+            run(site(), model, confirm=confirm)
+    assert discovery.site_sitemap(Site(**{"robots.txt": (404, ""), "sitemap.xml": (404, "")}).fetcher(), "b/") is None
+    assert not discovery.still_valid(site(products=(404, "")).fetcher(), "b", SiteConfig("api", probe={"product_id": 1, "part_no": "W"}))
+
+
 def test_stream_takes_only_what_is_new(spark, tmp_path):
     source, root = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
