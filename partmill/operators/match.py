@@ -60,9 +60,12 @@ def matched_parts(parts: DataFrame, report: DataFrame) -> DataFrame:
 
 
 def lookup(entries: DataFrame, hits: DataFrame) -> DataFrame:
-    """Search hits whose normalised number equals the entry's (entry_id, raw; part_no, pos), the first of each number."""
-    keyed = entries.select("entry_id", normalize_key(F.col("raw")).alias("k")).join(hits.withColumn("k", normalize_key(F.col("part_no"))), "k")
-    return keep_first(keyed, ["entry_id", "part_no"], ["pos"]).drop("k")
+    """Search hits whose normalised number equals the entry's (entry_id, raw; part_no, pos), the first of each number.
+
+    Repeated hits are reduced before the join, so it gives no more rows than the result has.
+    """
+    first = keep_first(hits, ["part_no"], ["pos"]).withColumn("k", normalize_key(F.col("part_no")))
+    return entries.select("entry_id", normalize_key(F.col("raw")).alias("k")).distinct().join(first, "k").drop("k")
 
 
 def is_covered(wanted: DataFrame, found: DataFrame, key: str) -> bool:
