@@ -35,17 +35,20 @@ LEAST_FIXED = 3
 MOST_FILLER = 3
 #: Keys of gaps up to which they are sent to the workers (about 100 bytes each), so that other gaps are not even listed.
 MOST_SENT = 200_000
-PIECE = re.compile(
-    rf"(?P<mark>{re.sub(r'[?]P<[a-o]>', '?:', STRONG)}|\[\s*{NAME}\s*\]|<\s*{NAME}\s*>|\{{\s*{NAME}\s*\}}|%{NAME}%|@{NAME}@)|(?P<default>#?\bn/a\b|\b(?:tbd|tbc|tba|todo|null|none|nan|undefined|default|x{{3,}})\b|\?{{2,}}|_{{2,}}|-{{2,}})"
-    r"|(?P<number>(?:\w[\w-]*)?\d(?:[\w.,/-]*\w)?)|(?P<name>[^\W_]+(?:_[^\W_]+)+)|(?P<word>\w[\w'’-]*)|(?P<other>[^\w\s])",
-    re.I,
+MARK = rf"(?P<mark>{re.sub(r'[?]P<[a-o]>', '?:', STRONG)}|\[\s*{NAME}\s*\]|<\s*{NAME}\s*>|\{{\s*{NAME}\s*\}}|%{NAME}%|@{NAME}@)"
+REST = (
+    r"(?P<default>#?\bn/a\b|\b(?:tbd|tbc|tba|todo|null|none|nan|undefined|default|x{3,})\b|\?{2,}|_{2,}|-{2,})"
+    r"|(?P<number>(?:\w[\w-]*)?\d(?:[\w.,/-]*\w)?)|(?P<name>[^\W_]+(?:_[^\W_]+)+)|(?P<word>\w[\w'’-]*)|(?P<other>[^\w\s])"
 )
+PIECE, PLAIN = re.compile(f"{MARK}|{REST}", re.I), re.compile(REST, re.I)
+#: Characters without which a text has no delimited name.
+DELIMITING = re.compile(r"[{}\[\]<>%@$#_]")
 
 
 def template_of(segment: str) -> tuple[str, list[int]]:
     """(its pieces in lower case with numbers as ``#`` and ``¤`` before delimited names, the gaps between pieces in which a word seems to be missing)."""
     pieces, empty, end = [], [], 0
-    for m in PIECE.finditer(segment):
+    for m in (PIECE if DELIMITING.search(segment) else PLAIN).finditer(segment):
         between = segment[end : m.start()]
         if pieces and (len(between) > 1 or between and m[0] in ".,;)"):
             empty.append(len(pieces))
